@@ -40,6 +40,9 @@ def _byte_values() -> np.ndarray:
 
 
 BYTE_VALUES = _byte_values()
+
+#: Also splits at ASCII punctuation: words are then runs of ASCII letters, digits and non-ASCII bytes.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -64,9 +67,9 @@ class Words:
     (one more entry than documents).
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SEPARATOR):
         n = len(data)
-        separator = SEPARATOR[data]
+        separator = separators[data]
         opens = np.zeros(n + 1, bool)
         opens[offsets] = True
         start = ~separator
