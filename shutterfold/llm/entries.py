@@ -17,9 +17,9 @@ def _register(*modules) -> None:
 
 
 def load() -> None:
-    from . import bpe_query, decontaminate_query, linededup_query, lmscore_query, mpeg_query, pii_query, quality_query, urlfilter_query, viterbi_query
+    from . import bpe_query, decontaminate_query, linededup_query, lmscore_query, mpeg_query, ngramjoin_query, pii_query, quality_query, urlfilter_query, viterbi_query
 
-    _register(bpe_query, decontaminate_query, linededup_query, lmscore_query, mpeg_query, pii_query, quality_query, urlfilter_query, viterbi_query)
+    _register(bpe_query, decontaminate_query, linededup_query, lmscore_query, mpeg_query, ngramjoin_query, pii_query, quality_query, urlfilter_query, viterbi_query)
 
 
 load()
