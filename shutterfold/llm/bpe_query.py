@@ -11,6 +11,14 @@ from . import bpe
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Last pipeline stage: ids of every text beside the columns of ``docs``, checked by decoding them."""
+    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern, out="__decoded")
+    same = F.col("__decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
