@@ -205,7 +205,7 @@ def decide(
     return out
 
 
-def explain(df: DataFrame, burst_keep: int = 1, dedup_keep: int = 1, cluster: bool = False, top_n: int = 0) -> DataFrame:
+def explain(df: DataFrame, burst_keep: int = 1, dedup_keep: int = 1, top_n: int = 0) -> DataFrame:
     """Adds ``outcome`` and ``primary``/``secondary`` arrays of facts (kind, value, limit, rank, size, keep).
 
     What made an item Bad is primary; everything else known about it is
@@ -220,11 +220,12 @@ def explain(df: DataFrame, burst_keep: int = 1, dedup_keep: int = 1, cluster: bo
     def where(failed: bool) -> Column:
         return F.transform(F.filter("checks", lambda x: x["fail"] == failed), lambda x: fact(x["kind"], x["value"], x["limit"]))
 
-    groups = [("burst", burst_keep)] + ([("dedup", dedup_keep)] if cluster else [])
+    groups = [(p, k) for p, k in (("burst", burst_keep), ("dedup", dedup_keep)) if f"{p}_rank" in df.columns]
     lost = [F.when(F.col(f"{p}_out"), fact(F.lit(p), rank=F.col(f"{p}_rank"), size=F.col(f"{p}_size"), keep=F.lit(k))) for p, k in groups]
     kept = [F.when(F.col(f"{p}_rank").isNotNull() & ~F.col(f"{p}_out"), fact(F.lit(p), rank=F.col(f"{p}_rank"), size=F.col(f"{p}_size"), keep=F.lit(k))) for p, k in groups]
     top = [F.when(F.lit(top_n > 0), fact(F.lit("top_n"), value=F.col("aesthetic"), rank=F.col("score_rank"), keep=F.lit(top_n)))] if top_n else []
-    lost_array, kept_array = F.array_compact(F.array(*lost)), F.array_compact(F.array(*kept))
+    nothing = F.slice(F.array(fact(F.lit(""))), 1, 0)
+    lost_array, kept_array = (F.array_compact(F.array(*x)) if x else nothing for x in (lost, kept))
     failed = F.concat(F.array_compact(F.array(*top)), lost_array) if top_n else F.concat(where(True), lost_array)
     other = F.concat(where(True), where(False), kept_array) if top_n else F.concat(where(False), kept_array)
     good = F.col("decided")

@@ -73,7 +73,7 @@ def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = Fal
     contested = planned.withColumn("__low", low).join(taken.unionByName(rivals).distinct(), ["folder", "__low"], "left_semi").select("folder").distinct()
     free = planned.join(contested, "folder", "left_anti").withColumn("final_name", F.col("name"))
     hard = planned.join(contested, "folder", "left_semi")
-    schema = hard.withColumn("final_name", F.lit("").cast("string")).schema
+    schema = hard.withColumn("final_name", F.lit(None).cast("string")).schema
 
     def resolve(plans: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         used = set(there["__low"])
