@@ -14,8 +14,9 @@ A document is its set of word n-gram hashes.  Documents link when
    hold OR-combined bitmaps of the shared shingles and size ranges, and a dual
    traversal prunes node pairs whose largest possible overlap is too small or
    that lie in one component already.  Leaves are compared exactly.
-4. Only a spanning forest of the links leaves a task; components of those
-   edges give the smallest document of every group.
+4. Only a spanning forest of the links leaves a task.  A forest of one block
+   is final; components of the edges of the others settle what spans blocks.
+   The smallest document of every group names it.
 
 All bounds are exact, so no link between different sets is lost.  Null texts
 and texts without words have an empty set and link with nothing; fewer words
@@ -269,7 +270,8 @@ def _forest_links(percent: int):
         sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
         label = tree_links(sets, percent, block if len(np.unique(block)) > 1 else None)
         moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": keys[moved], "b": keys[label[moved]]})
+        whole = bool(table["blocks"][0].as_py() == 1)
+        return pa.table({"node": keys[moved], "root": keys[label[moved]], "whole": np.full(len(moved), whole)})
 
     return links
 
@@ -305,10 +307,11 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, doc_key: str = "d
     dealt = (
         sets.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_key", "block", "shingles")
+        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_key", "block", "blocks", "shingles")
     )
-    links = stored(dealt.groupBy("component", "i", "j").applyInArrow(_forest_links(percent), "a long, b long"))
-    groups = connected_components(links, "a", "b").select(F.col("node").alias("set_key"), F.col("component").alias("root"))
+    links = stored(dealt.groupBy("component", "i", "j").applyInArrow(_forest_links(percent), "node long, root long, whole boolean"))
+    split = connected_components(links.where("not whole"), "node", "root").withColumnRenamed("component", "root")
+    groups = links.where("whole").select("node", "root").unionByName(split).withColumnRenamed("node", "set_key")
     rooted = classes.join(groups, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     found = rooted.join(least, "root").select("set_key", "component")

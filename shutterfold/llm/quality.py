@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         .collect()
     )
     found.sort(key=lambda r: (r["label"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in found]).reshape(len(found), -1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in found]).reshape(len(found), N_FEATURES)
     return fit_rows(x, np.array([r["label"] for r in found]))
 
 

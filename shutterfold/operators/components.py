@@ -1,9 +1,12 @@
 """Connected components of an edge table of any size.
 
-Min-label propagation with pointer jumping.  Every round is two joins and two
-``min`` aggregations, which combine before the shuffle, so a hub with a third
-of all edges costs no more than its edges; nothing is collected but the number
-of labels that changed.
+Rounds of hooking and contraction: every node takes the smallest node next to
+it as its parent, parents are shortened by pointer jumping, and the edges are
+rewritten between parents.  Edges inside a merged group vanish, so the table
+shrinks round by round; the parent maps are composed backwards at the end, the
+small ones first.  Minima and duplicates combine before each shuffle, so a hub
+with a third of all edges costs no more than its edges; nothing is collected
+but whether edges are left.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
+JUMPS = 2
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node in an edge; component = its smallest node.
@@ -20,18 +25,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Edges with a null end and self-loops only add the node they name.  An empty
     table gives an empty result.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both.where("a is not null").select("a", F.coalesce("b", "a").alias("b")).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    ends = edges.select(F.col(src).alias("x"), F.col(dst).alias("y"))
+    pairs = ends.select(F.coalesce("x", "y").alias("x"), F.coalesce("y", "x").alias("y")).where("x is not null")
+    links = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    maps: list[DataFrame] = []
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels.node == near.a, "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
-        )
-        ends = spread.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = cut(spread.join(ends, "label", "left").select("node", "old", F.least("label", "root").alias("label")))
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> old").limit(1).count() == 0:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("parent"))
+        for _ in range(JUMPS):
+            up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+            parents = cut(parents.join(up, "parent").select("node", F.col("grand").alias("parent")))
+        maps.append(parents)
+        low = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
+        high = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+        moved = links.where("a <> b").join(low, "a").join(high, "b").where("pa <> pb")
+        links = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        if links.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    found = maps.pop()
+    while maps:
+        roots = found.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+        found = maps.pop().join(roots, "parent", "left").select("node", F.coalesce("root", "parent").alias("parent"))
+    return found.withColumnRenamed("parent", "component")
