@@ -5,8 +5,8 @@ A document is its set of word n-gram hashes.  Documents link when
 
 1. Equal sets are one class; from here on there is one node per class.
 2. A set keeps the shingles that a partner must share one of (its prefix in a
-   global order: shingles of frequent count-sketch cells last, then by hash).
-   Rows with one prefix shingle and compatible sizes form a session.  Pairs of
+   global order: shingles that many rows hold last, by exact counts, then by
+   hash).  Rows with one prefix shingle and compatible sizes form a session.  Pairs of
    small sessions that share too few prefix shingles to reach the threshold
    drop out by an exact bound; large sessions go on whole, as star edges.
 3. The components of what remains are the forests.  Each forest's sets travel
@@ -38,8 +38,9 @@ from ..operators.lineage import stored
 from . import textarrays
 from .keyfilter import KeyFilter
 
-SKETCH_BITS = 18
 SMALL_SESSION = 32
+FREQUENT = (SMALL_SESSION, 512, 8192)  # rows with a shingle: each step puts it later in the global order
+FREQUENT_BITS = 26  # 8 MB for each step
 BLOCK_WEIGHT = 1 << 22  # shingles of a block: 32 MB
 FANOUT = 16
 LEAF_BITS = 1 << 15
@@ -50,22 +51,23 @@ def _sets(texts, n: int) -> Iterator[np.ndarray]:
         yield from textarrays.shingle_sets(textarrays.Words(data, offsets), n)
 
 
-def sketch_levels(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
-    """Log2 of how many shingles of all texts fall in each of 2**SKETCH_BITS hash cells: one byte a cell."""
+def frequent_shingles(docs: DataFrame, n: int, text: str = "text") -> list[KeyFilter]:
+    """One filter for each step of ``FREQUENT``: the shingles that more rows hold.
+
+    Counts are exact and over all rows; a filter that takes in another shingle
+    only moves it in an order that is the same for all sets.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for _, _, data, offsets in textarrays.chunks(batch[text]):
-                grams = textarrays.ngram_hashes(textarrays.Words(data, offsets).hashes(), n)
-                cells += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        used = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(cells[used])], ["cell", "n"])
+                sets = list(textarrays.shingle_sets(textarrays.Words(data, offsets), n))
+                token, count = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int32))], ["token", "n"])
 
-    found = docs.select(text).mapInArrow(rows, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    levels[found["cell"].to_numpy()] = np.log2(np.maximum(found["n"].to_numpy(), 1)).astype(np.uint8)
-    return levels
+    counted = docs.select(text).mapInArrow(rows, "token long, n int").repartition("token")
+    frequent = stored(counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT[0]))
+    return [KeyFilter(frequent.where(F.col("n") > least), "token", FREQUENT_BITS) for least in FREQUENT]
 
 
 def prefix_length(n, percent: int):
@@ -73,18 +75,18 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefix_rows(docs: DataFrame, levels: np.ndarray, n: int, percent: int, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
+def prefix_rows(docs: DataFrame, frequent: list[KeyFilter], n: int, percent: int, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n, set_key, prefix array<long>``; an empty set has a null key."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        steps = shared.value
         for batch in batches:
             sizes, keys, prefixes = [], [], []
             for s in _sets(batch[text], n):
                 sizes.append(len(s))
                 keys.append(int(textarrays.mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0].view(np.int64)) if len(s) else None)
-                order = np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                order = np.argsort(sum(step(s).astype(np.uint8) for step in steps), kind="stable")
                 prefixes.append(s[order[: prefix_length(len(s), percent)]] if len(s) else s)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.empty(0, np.int64)
@@ -291,7 +293,7 @@ def shingle_rows(docs: DataFrame, wanted: KeyFilter, n: int, doc_key: str = "doc
 
 def components(docs: DataFrame, n: int = 4, percent: int = 85, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
-    prefixes = stored(prefix_rows(docs, sketch_levels(docs, n, text), n, percent, doc_key, text))
+    prefixes = stored(prefix_rows(docs, frequent_shingles(docs, n, text), n, percent, doc_key, text))
     members = prefixes.select("doc_id", "n", "set_key")
     classes = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     edges = stored(candidate_edges(prefixes, percent))
