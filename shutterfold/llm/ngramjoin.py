@@ -40,7 +40,7 @@ from .keyfilter import KeyFilter
 
 SMALL_SESSION = 32
 FREQUENT = (SMALL_SESSION, 512, 8192)  # rows with a shingle: each step puts it later in the global order
-FREQUENT_BITS = 26  # 8 MB for each step
+FREQUENT_BITS = 24  # 2 MB for each step
 BLOCK_WEIGHT = 1 << 22  # shingles of a block: 32 MB
 FANOUT = 16
 LEAF_BITS = 1 << 15
@@ -223,7 +223,7 @@ def tree_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
         m, lo, hi, ex = levels[level]
         ok = (100 * hi[i] >= percent * lo[j]) & (100 * hi[j] >= percent * lo[i])
         i2, j2 = i[ok], j[ok]
-        most = np.concatenate([np.bitwise_count(m[i2[k : k + 8192]] & m[j2[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i2), 8192)]) if len(i2) else np.empty(0, np.int64)
+        most = np.concatenate([np.bitwise_count(m[i2[k : k + 1024]] & m[j2[k : k + 1024]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i2), 1024)]) if len(i2) else np.empty(0, np.int64)
         most = np.minimum(most + np.minimum(ex[i2], ex[j2]), np.minimum(hi[i2], hi[j2]))
         ok[ok] = (100 + percent) * most >= percent * (lo[i2] + lo[j2])
         return ok
@@ -248,7 +248,7 @@ def tree_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
             i, j = children(level, i[ok], j[ok])
             far = np.argsort(j - i, kind="stable")[::-1]  # near pairs last: they come off the stack first
             i, j = i[far], j[far]
-            stack += [(level - 1, i[k : k + 4096], j[k : k + 4096]) for k in range(0, len(i), 4096)]
+            stack += [(level - 1, i[k : k + 1024], j[k : k + 1024]) for k in range(0, len(i), 1024)]
             continue
         ok = (i != j) & (label[i] != label[j])
         if sides is not None:

@@ -100,7 +100,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Splits a text column into runs of documents of about ``most`` bytes.
 
     Yields (from row, to row, bytes, offsets); nulls are empty; a longer text
