@@ -2,18 +2,27 @@
 
 Both models share one vocabulary, one list of explicit bigrams and one
 smoothing; only their counts differ.  Counts come from every word of both
-corpora, summed inside each task before the shuffle.  A word belongs to the
-vocabulary when it is at least ``WORD_SHARE`` of the words of either corpus,
-and a bigram over the vocabulary is explicit when it is at least
-``BIGRAM_SHARE`` of the bigrams of either.  Shares bound both lists whatever
-the corpus (2 / share entries each), so the models are broadcast.  Other words
-are one unknown word; other bigrams fall back to the unigram by Dirichlet
-smoothing, so probabilities sum to one.
+corpora, summed inside each task before the shuffle.
+
+``difference`` keeps the counts of all words and bigrams, however rare, as
+tables; the documents scored are the background.  Documents are dealt by hash
+to blocks of about ``BLOCK_BYTES``; a block asks for the totals of the grams it
+holds, each once, so a frequent gram has at most one row a block, and is scored
+with those totals alone.  Nothing is broadcast or collected but four numbers.
+
+``train`` and ``score`` make and use a bounded model for any documents.  There
+a word belongs to the vocabulary when it is at least ``WORD_SHARE`` of the
+words of either corpus, and a bigram over the vocabulary is explicit when it is
+at least ``BIGRAM_SHARE`` of the bigrams of either.  Shares bound both lists
+whatever the corpus (2 / share entries each), so the models are broadcast.
+Other words are one unknown word; other bigrams fall back to the unigram by
+Dirichlet smoothing.
 
 Score of a document: mean over its words of target loss minus background loss
 (nats); lower means closer to the target.  Null and empty texts have 0 words
 and score 0.  Words are runs of non-blank characters, A-Z folded.  Repeated
 rows score alike; an empty corpus gives a model of the unknown word alone.
+Words and bigrams are told apart by 63-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,8 +32,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.lineage import stored
 from . import textarrays
@@ -33,6 +43,8 @@ WORD_SHARE = 1e-5
 BIGRAM_SHARE = 2e-6
 PRIOR = 50.0
 UNKNOWN = np.uint64(0)
+BLOCK_BYTES = 32 << 20  # text of a block of documents that are counted and scored together
+LOSSES = "struct<n_words:bigint,target_loss:double,background_loss:double,score:double>"
 
 
 def _counted(values: np.ndarray) -> pa.RecordBatch:
@@ -144,7 +156,7 @@ def score(docs: DataFrame, models: Models, text: str = "text", out: str = "lm")
     """Adds ``out struct<n_words:bigint,target_loss:double,background_loss:double,score:double>``."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    @F.arrow_udf("struct<n_words:bigint,target_loss:double,background_loss:double,score:double>")
+    @F.arrow_udf(LOSSES)
     def scored(texts: pa.Array) -> pa.Array:
         one, parts = shared.value, []
         for _, hashes, first in _documents(texts):
@@ -157,3 +169,62 @@ def score(docs: DataFrame, models: Models, text: str = "text", out: str = "lm")
         return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(t), pa.array(b), pa.array(t - b)], ["n_words", "target_loss", "background_loss", "score"])
 
     return docs.withColumn(out, scored(F.col(text)))
+
+
+def _word_and_pair_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(even keys of the words, places of words with one before them, odd keys of the pairs that end there)."""
+    inner = _inner(first, len(hashes))
+    pairs = textarrays.ngram_hashes(hashes, 2)[inner - 1] if len(inner) else np.empty(0, np.uint64)
+    return hashes & ~np.uint64(1), inner, pairs | np.uint64(1)
+
+
+def _keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    words, _, pairs = _word_and_pair_keys(hashes, first)
+    return np.concatenate([words, pairs])
+
+
+def difference(docs: DataFrame, target: DataFrame, text: str = "text", out: str = "lm", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without ``text`` and with ``out`` (as in ``score``): all of ``target`` against all of ``docs``, no count left out."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(*docs.columns), F.lit(1 + size // block_bytes)))
+
+    def counted(key: tuple, block: pa.Table) -> pa.Table:
+        held = [np.empty(0, np.uint64), *(_keys(hashes, first) for _, hashes, first in _documents(block[text]))]
+        found = pa.Table.from_batches([_counted(np.concatenate(held))])
+        return found.add_column(0, "block", pa.array(np.full(len(found), key[0].as_py(), np.int64)))
+
+    none = F.lit(0).cast("long")
+    b = dealt.select("__block", text).groupBy("__block").applyInArrow(counted, "block long, gram long, n long").select("block", "gram", none.alias("t"), F.col("n").alias("b"))
+    t = _partial_counts(target, text, _keys).select(F.lit(-1).cast("long").alias("block"), "gram", F.col("n").alias("t"), none.alias("b"))
+    whole = Window.partitionBy("gram").orderBy("block")
+    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = (F.col("gram").bitwiseAND(F.lit(1).cast("long")) == 0) & (F.row_number().over(whole) == 1)  # one row of each word
+    summed = b.unionByName(t).select("block", "gram", F.sum("t").over(every).alias("t"), F.sum("b").over(every).alias("b"), head.alias("head"))
+    # every gram of a document occurs in the background, so a block takes one it gets no row for as (0, 1)
+    asked = "block >= 0 and (t > 0 or b > 1)"
+    rows = stored(summed.where(f"head or {asked}"))
+    total_t, total_b, distinct = rows.where("head").agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count("*")).first()
+    totals = np.array([[total_t], [total_b]], float) + distinct + 1
+    counts = rows.where(asked).select(F.col("block").alias("__block"), "gram", "t", "b")
+
+    def scored(block: pa.Table, counts: pa.Table) -> pa.Table:
+        grams = counts["gram"].to_numpy().view(np.uint64)
+        order = np.argsort(grams)
+        grams = grams[order]
+        # the last entry is for grams that occur once
+        known = np.stack([np.append(counts["t"].to_numpy()[order], 0), np.append(counts["b"].to_numpy()[order], 1)]).astype(float)
+        parts = []
+        for _, hashes, first in _documents(block[text]):
+            words, inner, pairs = _word_and_pair_keys(hashes, first)
+            each = known[:, _known(words, grams)]
+            p = (each + 1) / totals
+            p[:, inner] = (known[:, _known(pairs, grams)] + PRIOR * p[:, inner]) / (each[:, inner - 1] + PRIOR)
+            n = np.diff(first)
+            of = np.repeat(np.arange(len(n)), n)
+            parts.append((n, *(np.bincount(of, weights=x, minlength=len(n)) / np.maximum(n, 1) for x in -np.log(p))))
+        n, t, b = (np.concatenate(x) if x else np.empty(0) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
+        losses = pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(t), pa.array(b), pa.array(t - b)], ["n_words", "target_loss", "background_loss", "score"])
+        return block.drop_columns([text, "__block"]).append_column(out, losses)
+
+    schema = T.StructType([*docs.drop(text).schema.fields, T.StructField(out, T._parse_datatype_string(LOSSES))])
+    return dealt.groupBy("__block").cogroup(counts.groupBy("__block")).applyInArrow(scored, schema)

@@ -106,6 +106,39 @@ def test_lm_empty_corpus(spark):
     assert lmscore.score(docs(spark, ["a b", None]), models).select("lm.score").collect()[1][0] == 0.0
 
 
+def test_lm_query_counts_every_word_and_bigram(spark, tmp_path):
+    from shutterfold.llm import lmscore_query
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(30_000 * rng.random() ** 3)}" for _ in range(1500)) for _ in range(400)] + ODD
+    turns = [" ".join(rng.choices(texts[i].split(), k=30)) for i in range(50)] + ["rareword onlyhere"]
+    docs(spark, texts).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs(spark, turns).select("text").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def counted(corpus):
+        one, two = Counter(), Counter()
+        for w in map(words_of, corpus):
+            one.update(w)
+            two.update(zip(w, w[1:]))
+        return one, two, sum(one.values())
+
+    models = counted(turns), counted(texts)
+    size = len(models[0][0] | models[1][0]) + 1
+    want = []
+    for w in map(words_of, texts):
+        row = []
+        for one, two, n in models:
+            p = [(one[x] + 1) / (n + size) for x in w]
+            p[1:] = [(two[a, x] + lmscore.PRIOR * q) / (one[a] + lmscore.PRIOR) for a, x, q in zip(w, w[1:], p[1:])]
+            row.append(-float(np.log(p).sum()) / max(1, len(w)))
+        want.append((len(w), *row, row[0] - row[1]))
+    got = lmscore_query.op1_lm_cross_entropy_difference(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == list(range(len(texts)))
+    assert np.allclose([tuple(r)[1:] for r in got], want)
+    small = lmscore.difference(docs(spark, texts), docs(spark, turns), block_bytes=1 << 18).orderBy("doc_id").collect()  # many blocks
+    assert np.allclose([tuple(r.lm) for r in small], want)
+
+
 # --- op2 -------------------------------------------------------------------
 
 
