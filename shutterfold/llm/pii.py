@@ -63,17 +63,21 @@ def _fold_table() -> dict[int, str]:
 
 FOLD = _fold_table()
 _WORD = "|".join(DIGIT_WORDS)
-_AT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
+_AT = r"(?:(?<!\s)\s+)?[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
 _DOT = r"\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|DOT|Dot)\s+"
 _REWRITE = re.compile(
-    rf"(?P<at>{_AT}|\s+at\s+(?!(?:the|a|an|this|that|my|your|his|her|its|our|their)\s)(?=[\w-]+(?:{_DOT})[\w-]))|(?P<dot>(?<=[\w])(?:{_DOT})(?=[\w]))"
+    rf"(?P<at>{_AT}|(?<!\s)\s+at\s+(?!(?:the|a|an|this|that|my|your|his|her|its|our|their)\s)(?=[\w-]+(?:{_DOT})[\w-]))|(?P<dot>(?<=[\w])(?:{_DOT})(?=[\w]))"
     rf"|(?P<plus>\bplus\s+(?=[0-9]|(?:{_WORD})\b))|\b(?P<digit>{_WORD})\b|(?P<gap>[{INVISIBLE}])",
     re.IGNORECASE,
 )
-_STRANGE = frozenset(INVISIBLE) | frozenset(map(chr, FOLD))
+# the last three equal "s", "k" and "i" where case is ignored
+_STRANGE = frozenset(INVISIBLE) | frozenset(map(chr, FOLD)) | frozenset("\u017f\u212a\u0130")
 _STRANGE_LATIN_1 = [c for c in _STRANGE if ord(c) < 256]
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|punkt|point|punto|\.)\s*[\])}>]", re.IGNORECASE)
-_SPELLED = re.compile(rf"\b(?:{_WORD})\b")
+_PLUS = re.compile(rf"plus\s+(?:[0-9]|{_WORD})")
+_BARE_DOT = re.compile(r"\sdot\s")
+# a spelled digit of a number has a neighbour digit, plain or spelled, with nothing but separators of numbers between
+_SPELLED = re.compile(rf"(?:[0-9]|{_WORD})[ ().-]+(?:{_WORD})|(?:{_WORD})[ ().-]+[0-9]")
 
 
 def _has_strange(text: str) -> bool:
@@ -87,15 +91,14 @@ def _has_strange(text: str) -> bool:
 
 
 def disguised(text: str) -> bool:
-    """Whether rewriting can add a span: cheap substring tests go first, as most texts have no disguise."""
+    """False only where rewriting can't add a span; each test is weaker than the rule of ``_REWRITE`` that it stands for.
+
+    An at wording without brackets needs a dot wording behind it.  Spelled digits alone never change what is an e-mail address.
+    """
     if _has_strange(text) or _BRACKETED.search(text):
         return True
     low = text.lower()
-    if " dot " in low or "\tdot" in low or "\ndot" in low:
-        return True
-    # a number needs four digits at least, and digit words other than these two are rare inside other words
-    many = sum(low.count(w) for w in DIGIT_WORDS if w not in ("one", "oh"))
-    return many + low.count("one") + low.count("oh") >= 4 and len(_SPELLED.findall(low)) >= 4
+    return bool(_BARE_DOT.search(low) or _PLUS.search(low) or _SPELLED.search(low))
 
 
 def _luhn(digits: str) -> bool:
@@ -142,7 +145,7 @@ def rewritten(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     folded = text.translate(FOLD)
     pieces, lengths, rules, at = [], [], [], 0
     for m in _REWRITE.finditer(folded):
-        new = {"at": "@", "dot": ".", "plus": "+", "gap": ""}.get(m.lastgroup) if m.lastgroup != "digit" else DIGIT_WORDS[m["digit"].lower()]
+        new = {"at": "@", "dot": ".", "plus": "+", "gap": ""}.get(m.lastgroup) if m.lastgroup != "digit" else DIGIT_WORDS[m["digit"].casefold().replace("\u0307", "")]
         pieces += [folded[at : m.start()], new]
         lengths.append((m.start() - at, len(new), m.start(), m.end()))
         at = m.end()
