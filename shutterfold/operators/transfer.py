@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .components import connected_components
 from .ranking import numbered
 
 
@@ -56,6 +57,18 @@ def renamed(planned: DataFrame, template: str) -> DataFrame:
     return planned.withColumn("new_name", F.concat(N.templated(template, values, orig), suffix))
 
 
+def _suffixed(name: str, n: int) -> str:
+    stem, ext = os.path.splitext(name)
+    return f"{stem}_{n:03d}{ext}" if n else name
+
+
+def _family(folder: Column, low: Column) -> Column:
+    """What all suffixed forms of a folded name share."""
+    ext = F.regexp_extract(low, r"(?s)[^.].*?(\.[^.]*)$", 1)
+    stem = F.substring(low, F.lit(1), F.length(low) - F.length(ext))
+    return F.concat_ws("/", folder, F.concat(F.regexp_replace(stem, "(_[0-9]{3,})+$", ""), ext))
+
+
 def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = False) -> DataFrame:
     """Adds ``final_name``: conflict-free names in every target folder.
 
@@ -63,38 +76,51 @@ def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = Fal
     come in order; the k-th file of one folded name in an item belongs to the
     item's k-th slot group, and a whole group moves to ``_001`` and so on
     together when any of its names is taken; ``skip`` gives null instead.
-    Folders of items whose names nobody else wants resolve in parallel by plain
-    joins; only contested names go to a task per folder.
+    Names meet only within a family (one folder, stem without number suffixes
+    and extension), families only through a group that has files in several.
+    Families tied together and holding a name that is wanted twice or taken go
+    to a task of their own; all other files keep their names by plain joins.
     """
-    low = F.lower("name")
-    planned = planned.withColumn("__k", F.row_number().over(Window.partitionBy("folder", "item_id", low).orderBy("pos")) - 1)
-    taken = existing.select("folder", F.lower("name").alias("__low")).distinct()
-    rivals = planned.groupBy("folder", low.alias("__low")).agg(F.count("*").alias("n")).where("n > 1").select("folder", "__low")
-    contested = planned.withColumn("__low", low).join(taken.unionByName(rivals).distinct(), ["folder", "__low"], "left_semi").select("folder").distinct()
-    free = planned.join(contested, "folder", "left_anti").withColumn("final_name", F.col("name"))
-    hard = planned.join(contested, "folder", "left_semi")
+    planned = planned.withColumns({"__low": F.lower("name"), "__family": _family(F.col("folder"), F.lower("name"))})
+    planned = planned.withColumn("__k", F.row_number().over(Window.partitionBy("folder", "item_id", "__low").orderBy("pos")) - 1)
+    taken = existing.select("folder", F.lower("name").alias("__low")).distinct().withColumn("__family", _family(F.col("folder"), F.col("__low")))
+    rivals = planned.groupBy("folder", "__low").agg(F.count("*").alias("n")).where("n > 1").select("folder", "__low")
+    groups = planned.groupBy("folder", "pos", "item_id", "__k").agg(F.collect_set("__family").alias("all")).where("size(all) > 1")
+    edges = groups.select(F.array_min("all").alias("src"), F.explode("all").alias("dst"))
+    if edges.isEmpty():
+        planned, taken = (df.withColumn("__tied", F.col("__family")) for df in (planned, taken))
+    else:
+        tied = connected_components(edges).select(F.col("node").alias("__family"), F.col("component").alias("__tied"))
+        planned, taken = (df.join(tied, "__family", "left").withColumn("__tied", F.coalesce("__tied", "__family")) for df in (planned, taken))
+    contested = planned.join(taken.select("folder", "__low").unionByName(rivals).distinct(), ["folder", "__low"], "left_semi").select("__tied").distinct()
+    free = planned.join(contested, "__tied", "left_anti").withColumn("final_name", F.col("name"))
+    hard = planned.join(contested, "__tied", "left_semi")
     schema = hard.withColumn("final_name", F.lit(None).cast("string")).schema
 
     def resolve(plans: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         used = set(there["__low"])
-        out = {}
+        out, next_free = {}, {}
         plans = plans.sort_values(["pos", "item_id", "__k"], kind="stable")
         for _, group in plans.groupby(["pos", "item_id", "__k"], sort=True):
-            names = list(group["name"])
-            for n in range(100_000):
-                tries = names if n == 0 else [f"{a}_{n:03d}{b}" for a, b in map(os.path.splitext, names)]
-                folded = [t.lower() for t in tries]
-                if len(set(folded)) == len(folded) and not used.intersection(folded):
-                    used.update(folded)
-                    out.update(zip(group.index, tries, strict=True))
-                    break
-                if skip and n == 0:
-                    out.update(dict.fromkeys(group.index))
+            lows = tuple(group["__low"])
+            if len(set(lows)) < len(lows):
+                raise ValueError(f"one slot group plans a name twice: {lows}")
+            # names are only ever added, so what was taken for these names stays taken
+            n = next_free.get(lows, 0)
+            while not used.isdisjoint(_suffixed(x, n) for x in lows):
+                n += 1
+                if skip:
                     break
+            next_free[lows] = n
+            if skip and n:
+                out.update(dict.fromkeys(group.index))
+                continue
+            used.update(_suffixed(x, n) for x in lows)
+            out.update(zip(group.index, (_suffixed(x, n) for x in group["name"]), strict=True))
         return plans.assign(final_name=pd.Series(out, dtype=object).reindex(plans.index))
 
-    solved = hard.groupBy("folder").cogroup(taken.groupBy("folder")).applyInPandas(resolve, schema)
-    return free.unionByName(solved).drop("__k")
+    solved = hard.groupBy("__tied").cogroup(taken.groupBy("__tied")).applyInPandas(resolve, schema)
+    return free.unionByName(solved).drop("__k", "__low", "__family", "__tied")
 
 
 def folder_counts(files: DataFrame, folder: Column) -> DataFrame:

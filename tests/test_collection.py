@@ -121,6 +121,15 @@ def test_collisions_move_whole_groups(spark):
     assert [r[3] for r in got(True) if r[1] == 2] == [None, None]
 
 
+def test_collisions_beyond_a_hundred_thousand_and_across_families(spark):
+    there = spark.range(100_005).select(F.lit("d").alias("folder"), F.when(F.col("id") == 0, "X.JPG").otherwise(F.concat(F.lit("x_"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(".jpg"))).alias("name"))
+    there = there.withColumn("name", F.regexp_replace("name", "_0{1,3}([0-9]{3,})", "_$1"))
+    rows = [("d", i, i, "x.jpg") for i in range(3)] + [("d", 5, 5, "x_100005.jpg"), ("d", 6, 6, "other.jpg"), ("d", 7, 7, "y.nef"), ("d", 7, 7, "x.jpg"), ("d", 8, 8, "y.nef"), ("d", 9, 9, "z.nef")]
+    planned = spark.createDataFrame(rows, "folder string, pos int, item_id int, name string")
+    got = sorted((r.item_id, r.final_name) for r in transfer.resolve_collisions(planned, there).collect())
+    assert got == [(0, "x_100005.jpg"), (1, "x_100006.jpg"), (2, "x_100007.jpg"), (5, "x_100005_001.jpg"), (6, "other.jpg"), (7, "x_100008.jpg"), (7, "y_100008.nef"), (8, "y.nef"), (9, "z.nef")]
+
+
 def test_transfer_never_overwrites(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "out").mkdir()
