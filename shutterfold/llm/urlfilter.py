@@ -43,15 +43,55 @@ def normal_form(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, joined)
 
 
+def _without_dots(path: Column) -> Column:
+    """The path without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    taken = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(taken, "/"), F.when(last.isin(".", "..") & (F.size(taken) > 0), "/").otherwise(""))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The full url that ``target`` names on the page ``base``.
+
+    A target with ``://`` stands as it is.  ``//host/x``, ``/x``, ``x``, ``?q``
+    and ``#f`` are taken from the base's scheme, host, directory, path and
+    query; null for an empty target, one of another scheme (``mailto:``), or
+    one that is relative to a base without ``://``.
+    """
+    scheme = F.regexp_extract(base, r"^([^/?#]*?)://", 1)
+    host = F.regexp_extract(base, r"^[^/?#]*?://([^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[^/?#]*?://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    site = F.concat(scheme, F.lit("://"), host)
+    own, rest = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"^[^?#]*(.*)", 1)
+    directory = F.regexp_extract(path, r"^.*/", 0)
+    below = F.concat(F.when(directory == "", "/").otherwise(directory), own)
+    return (
+        F.when(target.rlike(r"^[^/?#]*://"), target)
+        .when((target == "") | (scheme == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("/"), F.concat(site, _without_dots(own), rest))
+        .when(target.startswith("?"), F.concat(site, path, target))
+        .when(target.startswith("#"), F.concat(site, path, query, target))
+        .otherwise(F.concat(site, _without_dots(below), rest))
+    )
+
+
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``src, dst``: canonical links and refresh redirects of the pages, and the normal form of every url named."""
-    link = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    goes = F.array(
-        F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1),
+    """``src, dst``: all canonical links and refresh redirects of the pages, relative ones resolved, and the normal form of every url named."""
+    links = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0))
+    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
+    goes = F.concat(
+        F.coalesce(F.transform(links, lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)), F.array().cast("array<string>")),
+        F.coalesce(F.transform(metas, lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)), F.array().cast("array<string>")),
     )
-    named = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("src"), F.filter(goes, lambda x: F.instr(x, "://") > 0).alias("goes"))
+    targets = F.transform(F.array_distinct(goes), lambda x: resolved(x, F.col(url)))
+    named = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("src"), F.filter(targets, lambda x: x.isNotNull()).alias("goes"))
     links = named.select("src", F.explode("goes").alias("dst"))
     urls = named.select("src").unionByName(links.select(F.col("dst").alias("src"))).distinct()
     forms = urls.select("src", F.concat(F.lit("form:"), normal_form(F.col("src"))).alias("dst")).where("dst is not null")

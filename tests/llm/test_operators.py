@@ -493,6 +493,30 @@ def test_redirects_spread_blocks_and_allows_win(spark):
     assert urlfilter.judge(pages.where("false"), rules, urlfilter.page_edges(pages.where("false"))).count() == 0
 
 
+def test_relative_targets_are_resolved_as_the_library_does(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.com/x/y/p.html?q=1", "https://A.com", "http://a.com/", "http://a.com/x/?r=http://z.de/w"]
+    targets = ["/en/7", "//b.net/de/1", "?page=2", "#top", "q.html", "./q", "../q", "../../../q", "../", ".", "..", "/a/./b/../c", "q/?s=../t", "http://c.org/es", "/go?to=http://d.org/x", "q?to=http://d.org/x"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string")
+    for r in df.select("b", "t", urlfilter.resolved(F.col("t"), F.col("b")).alias("got")).collect():
+        assert r.got in (want := urljoin(r.b, r.t), want.replace("//a.com", "//A.com")), (r.b, r.t)
+    for b, t in [("http://a.com/x", "mailto:a@b.c"), ("http://a.com/x", ""), ("a.com/x", "/y")]:
+        assert spark.createDataFrame([(b, t)], "b string, t string").select(urlfilter.resolved(F.col("t"), F.col("b")).alias("got")).first().got is None
+
+
+def test_relative_and_repeated_tags_tie_aliases(spark):
+    pages = [
+        (1, "http://m.shop.com/x/a", '<link rel="canonical" href="/bad/1">'), (2, "http://o1.org/", '<meta http-equiv="refresh" content="0; url=//shop.com/bad/2">'),
+        (3, "http://o2.org/", '<link rel=canonical href="http://o3.org/"><link rel=canonical href="http://shop.com/bad/3">'),
+        (4, "http://o4.org/", '<meta http-equiv=refresh content="5"><meta http-equiv=refresh content="0;url=http://shop.com/bad/4">'), (5, "http://o5.org/p", '<link rel="canonical" href="?x=1">'), (6, "http://o6.org/", None),
+    ]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    rules = spark.createDataFrame([("shop.com", "/bad", "block")], "host string, path string, action string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(df.select("page_id", "url"), rules, urlfilter.page_edges(df)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow"}
+
+
 def test_url_filter_plan_is_native(spark):
     pages = spark.createDataFrame([(1, "http://a.com/", "")], "page_id long, url string, html string")
     assert not re.search("Python|Pandas|Arrow", urlfilter.page_edges(pages)._jdf.queryExecution().toString())
