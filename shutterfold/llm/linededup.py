@@ -25,9 +25,10 @@ MIN_WORDS = 50
 
 
 def _words(line: Column) -> Column:
-    """Blanks between words plus one; 0 for a blank line."""
+    """Runs of characters outside ``\\x20\\x09-\\x0D``; where single spaces are the only blanks, spaces plus one."""
     trimmed = F.trim(line)
-    return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
+    other = line.rlike(r"  |[\x09-\x0D]")
+    return F.when(other, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))).when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
 
 
 def line_rows(docs: DataFrame, doc_key: str = "doc_id", text: str = "text") -> DataFrame:

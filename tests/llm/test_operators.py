@@ -181,6 +181,15 @@ def test_line_dedup_against_brute_force(spark):
     assert got[0].h == 4 and sum(map(len, gone.values())) > 50
 
 
+def test_line_dedup_counts_words_between_any_blanks(spark):
+    tabbed, spaced = "\t".join(f"c{i}" for i in range(60)), "   ".join(f"s{i}" for i in range(20))
+    got = linededup.dedup(docs(spark, [tabbed, "x\n" + tabbed, spaced, "y\n" + spaced])).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [tabbed, "x", spaced, "y\n" + spaced]
+    lines = ["", " ", "\t", " a ", "a b", "a  b", "a\tb c", "\x0b a\r"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", linededup._words(F.col("line")).alias("n"))
+    assert {r.line: r.n for r in df.collect()} == {x: len(words_of(x)) for x in lines}
+
+
 def test_line_dedup_repeated_rows_null_ids_and_empty(spark):
     line = " ".join(BASE * 2)
     df = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line), (1, "other")], DOCS)
