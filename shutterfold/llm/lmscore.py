@@ -1,230 +1,148 @@
 """Cross-entropy difference between matched target and background bigram models.
 
-Both models share one vocabulary, one list of explicit bigrams and one
-smoothing; only their counts differ.  Counts come from every word of both
-corpora, summed inside each task before the shuffle.
-
-``difference`` keeps the counts of all words and bigrams, however rare, as
-tables; the documents scored are the background.  Documents are dealt by hash
-to blocks of about ``BLOCK_BYTES``; a block asks for the totals of the grams it
-holds, each once, so a frequent gram has at most one row a block, and is scored
-with those totals alone.  Nothing is broadcast or collected but four numbers.
-
-``train`` and ``score`` make and use a bounded model for any documents.  There
-a word belongs to the vocabulary when it is at least ``WORD_SHARE`` of the
-words of either corpus, and a bigram over the vocabulary is explicit when it is
-at least ``BIGRAM_SHARE`` of the bigrams of either.  Shares bound both lists
-whatever the corpus (2 / share entries each), so the models are broadcast.
-Other words are one unknown word; other bigrams fall back to the unigram by
-Dirichlet smoothing.
+Both models share one vocabulary -- every word of either corpus, the end of a
+text and one unknown word -- and one smoothing; only their counts differ.  All
+words and all bigrams count, however rare; no list is cut.
+
+    p(w)     = (c(w) + 1) / (words + texts + vocabulary + 2)
+    p(w | h) = (c(h w) + PRIOR * p(w)) / (c(h) + PRIOR)
+
+``c(h)`` counts every ``h``: each is followed by a word or by the end, so the
+probabilities of all words, the end and the unknown word sum to one after
+every ``h``.  The first word of a text has ``p(w)``; ends are not scored.
+
+Documents are dealt at random to blocks of about ``BLOCK_BYTES`` and written
+once.  A block sends the list of its distinct grams with their counts, by
+ranges of the hashed gram; the range sums them over both corpora and answers
+every block with the totals in the order of its list.  The block then scores
+its documents.  Nothing is broadcast, and the driver sees six numbers.
 
 Score of a document: mean over its words of target loss minus background loss
 (nats); lower means closer to the target.  Null and empty texts have 0 words
 and score 0.  Words are runs of non-blank characters, A-Z folded.  Repeated
-rows score alike; an empty corpus gives a model of the unknown word alone.
-Words and bigrams are told apart by 63-bit hashes.
+rows score alike; an empty corpus counts nothing.  Very long texts are read
+whole, each in one task.  Words and bigrams are told apart by 63-bit hashes.
+Columns of ``docs`` other than the text pass through; one named ``out`` is
+replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.lineage import stored
-from . import textarrays
+from . import packed, textarrays
 
-WORD_SHARE = 1e-5
-BIGRAM_SHARE = 2e-6
 PRIOR = 50.0
-UNKNOWN = np.uint64(0)
-BLOCK_BYTES = 32 << 20  # text of a block of documents that are counted and scored together
+BLOCK_BYTES = 16 << 20
+TARGET, BACKGROUND = -1, -2  # block numbers of lists that ask for no answer
 LOSSES = "struct<n_words:bigint,target_loss:double,background_loss:double,score:double>"
 
 
-def _counted(values: np.ndarray) -> pa.RecordBatch:
-    keys, counts = np.unique(values, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "n"])
-
-
-def _documents(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, word hashes, first word of each document) by runs of documents."""
-    for lo, _, data, offsets in textarrays.chunks(texts):
+def _documents(texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word of each document, word keys, places with a word before them, keys of the pairs that end there), by runs of documents."""
+    for _, _, data, offsets in textarrays.chunks(texts):
         words = textarrays.Words(data, offsets)
-        yield lo, words.hashes(), words.first
-
-
-def _known(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Index in the sorted vocabulary, len(vocabulary) for the unknown word."""
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, len(vocabulary))
-
-
-def _inner(first: np.ndarray, n: int) -> np.ndarray:
-    """Places of words that have a word before them in their document."""
-    mask = np.ones(n, bool)
-    mask[first[first < n]] = False
-    return np.flatnonzero(mask)
-
-
-GATHER = 1 << 22  # words held before a task emits its partial counts
-
-
-def _partial_counts(df: DataFrame, text: str, grams) -> DataFrame:
-    """``gram, n``: partial counts over the whole corpus; each task sums up to GATHER words at a time."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for _, hashes, first in _documents(batch[text]):
-                held.append(grams(hashes, first))
-                size += len(held[-1])
-                if size >= GATHER:
-                    yield _counted(np.concatenate(held))
-                    held, size = [], 0
-        if size:
-            yield _counted(np.concatenate(held))
-
-    return df.select(text).mapInArrow(rows, "gram long, n long")
-
-
-def _both(target: DataFrame, background: DataFrame, text: str, grams) -> DataFrame:
-    t = _partial_counts(target, text, grams).select("gram", F.col("n").alias("t"), F.lit(0).cast("long").alias("b"))
-    b = _partial_counts(background, text, grams).select("gram", F.lit(0).cast("long").alias("t"), F.col("n").alias("b"))
-    return t.unionByName(b).groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-def _frequent(counts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int, int]:
-    """(sorted grams, target counts, background counts, totals of both, number of distinct grams)."""
-    counts = stored(counts)
-    t, b, distinct = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count("*")).first()
-    found = counts.where((F.col("t") >= max(1.0, share * t)) | (F.col("b") >= max(1.0, share * b))).toArrow()  # at most 2 / share rows
-    grams = found["gram"].to_numpy().view(np.uint64)
-    order = np.argsort(grams)
-    return grams[order], found["t"].to_numpy()[order], found["b"].to_numpy()[order], t, b, distinct
-
-
-@dataclass(frozen=True)
-class Models:
-    """Log-probability tables of both models over one vocabulary; size V + 1 with the unknown word last."""
-
-    vocabulary: np.ndarray
-    unigram: np.ndarray  # 2 x (V + 1): probabilities
-    history: np.ndarray  # 2 x (V + 1): counts
-    bigrams: np.ndarray  # sorted keys first * (V + 1) + second
-    counts: np.ndarray  # 2 x bigrams
-
-    def losses(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Loss of every word under target and background."""
-        p = self.unigram[:, words].copy()
-        inner = _inner(first, len(words))
-        if len(inner):
-            before, here = words[inner - 1], words[inner]
-            key = before * len(self.unigram[0]) + here
-            joint = np.zeros((2, len(key)))
-            if len(self.bigrams):
-                at = np.minimum(np.searchsorted(self.bigrams, key), len(self.bigrams) - 1)
-                joint = np.where(self.bigrams[at] == key, self.counts[:, at], 0)
-            p[:, inner] = (joint + PRIOR * p[:, inner]) / (self.history[:, before] + PRIOR)
-        loss = -np.log(p)
-        return loss[0], loss[1]
-
-
-def train(target: DataFrame, background: DataFrame, text: str = "text", word_share: float = WORD_SHARE, bigram_share: float = BIGRAM_SHARE) -> Models:
-    vocabulary, t, b, total_t, total_b, _ = _frequent(_both(target, background, text, lambda h, _: h), word_share)
-    size = len(vocabulary) + 1
-    history = np.array([[*t, total_t - t.sum()], [*b, total_b - b.sum()]], float)
-    unigram = (history + 1) / (np.array([[total_t], [total_b]]) + size)
-
-    def pairs(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        words = _known(hashes, vocabulary)
-        inner = _inner(first, len(words))
-        return (words[inner - 1] * size + words[inner]).astype(np.uint64)
-
-    bigrams, bt, bb, _, _, _ = _frequent(_both(target, background, text, pairs), bigram_share)
-    return Models(vocabulary, unigram, history, bigrams.astype(np.int64), np.array([bt, bb], float))
-
-
-def score(docs: DataFrame, models: Models, text: str = "text", out: str = "lm") -> DataFrame:
-    """Adds ``out struct<n_words:bigint,target_loss:double,background_loss:double,score:double>``."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    @F.arrow_udf(LOSSES)
-    def scored(texts: pa.Array) -> pa.Array:
-        one, parts = shared.value, []
-        for _, hashes, first in _documents(texts):
-            target, background = one.losses(_known(hashes, one.vocabulary), first)
-            n = np.diff(first)
-            of = np.repeat(np.arange(len(n)), n)
-            means = [np.bincount(of, weights=x, minlength=len(n)) / np.maximum(n, 1) for x in (target, background)]
-            parts.append((n, *means))
-        n, t, b = (np.concatenate(x) if x else np.empty(0) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
-        return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(t), pa.array(b), pa.array(t - b)], ["n_words", "target_loss", "background_loss", "score"])
-
-    return docs.withColumn(out, scored(F.col(text)))
-
-
-def _word_and_pair_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(even keys of the words, places of words with one before them, odd keys of the pairs that end there)."""
-    inner = _inner(first, len(hashes))
-    pairs = textarrays.ngram_hashes(hashes, 2)[inner - 1] if len(inner) else np.empty(0, np.uint64)
-    return hashes & ~np.uint64(1), inner, pairs | np.uint64(1)
-
-
-def _keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    words, _, pairs = _word_and_pair_keys(hashes, first)
-    return np.concatenate([words, pairs])
-
-
-def difference(docs: DataFrame, target: DataFrame, text: str = "text", out: str = "lm", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without ``text`` and with ``out`` (as in ``score``): all of ``target`` against all of ``docs``, no count left out."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(*docs.columns), F.lit(1 + size // block_bytes)))
-
-    def counted(key: tuple, block: pa.Table) -> pa.Table:
-        held = [np.empty(0, np.uint64), *(_keys(hashes, first) for _, hashes, first in _documents(block[text]))]
-        found = pa.Table.from_batches([_counted(np.concatenate(held))])
-        return found.add_column(0, "block", pa.array(np.full(len(found), key[0].as_py(), np.int64)))
-
-    none = F.lit(0).cast("long")
-    b = dealt.select("__block", text).groupBy("__block").applyInArrow(counted, "block long, gram long, n long").select("block", "gram", none.alias("t"), F.col("n").alias("b"))
-    t = _partial_counts(target, text, _keys).select(F.lit(-1).cast("long").alias("block"), "gram", F.col("n").alias("t"), none.alias("b"))
-    whole = Window.partitionBy("gram").orderBy("block")
-    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    head = (F.col("gram").bitwiseAND(F.lit(1).cast("long")) == 0) & (F.row_number().over(whole) == 1)  # one row of each word
-    summed = b.unionByName(t).select("block", "gram", F.sum("t").over(every).alias("t"), F.sum("b").over(every).alias("b"), head.alias("head"))
-    # every gram of a document occurs in the background, so a block takes one it gets no row for as (0, 1)
-    asked = "block >= 0 and (t > 0 or b > 1)"
-    rows = stored(summed.where(f"head or {asked}"))
-    total_t, total_b, distinct = rows.where("head").agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count("*")).first()
-    totals = np.array([[total_t], [total_b]], float) + distinct + 1
-    counts = rows.where(asked).select(F.col("block").alias("__block"), "gram", "t", "b")
-
-    def scored(block: pa.Table, counts: pa.Table) -> pa.Table:
-        grams = counts["gram"].to_numpy().view(np.uint64)
-        order = np.argsort(grams)
-        grams = grams[order]
-        # the last entry is for grams that occur once
-        known = np.stack([np.append(counts["t"].to_numpy()[order], 0), np.append(counts["b"].to_numpy()[order], 1)]).astype(float)
+        hashes = words.hashes()
+        later = np.ones(len(hashes), bool)
+        later[words.first[words.first < len(hashes)]] = False
+        inner = np.flatnonzero(later)
+        pairs = textarrays.ngram_hashes(hashes, 2)[inner - 1] if len(inner) else np.empty(0, np.uint64)
+        yield words.first, hashes & ~np.uint64(1), inner, pairs | np.uint64(1)
+
+
+def _keys(texts) -> Iterator[np.ndarray]:
+    for _, words, _, pairs in _documents(texts):
+        yield np.concatenate([words, pairs])
+
+
+def losses(c_word: np.ndarray, c_before: np.ndarray, c_pair: np.ndarray, inner: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """-log p of every word under both models, from counts of shape (2, words) and (2, pairs)."""
+    p = (c_word + 1) / total
+    p[:, inner] = (c_pair + PRIOR * p[:, inner]) / (c_before + PRIOR)
+    return -np.log(p)
+
+
+def _size(df: DataFrame, text: str) -> tuple[int, int]:
+    """(bytes, texts that hold a word)."""
+    worded = F.col(text).rlike(r"[^\x20\x09-\x0D]").cast("long")
+    return tuple(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.coalesce(F.sum(worded), F.lit(0))).first())
+
+
+def _answers(own: bool):
+    """Totals of a bucket of grams: one row of numbers, and the answer to each block's list."""
+
+    def answered(table: pa.Table) -> pa.Table:
+        blocks = table["block"].to_numpy()
+        lists = [packed.unpack_keys(x.as_py()) for x in table["keys"]]
+        keys, place = np.unique(np.concatenate(lists), return_inverse=True)
+        ends = np.cumsum([len(x) for x in lists])
+        n = np.concatenate([packed.unpack(x.as_py()) for x in table["n"]]).astype(float)
+        of = np.repeat(blocks, np.diff(ends, prepend=0))
+        counts = [np.bincount(place, weights=n * (of == TARGET), minlength=len(keys))]
+        counts.append(np.bincount(place, weights=n * ((of == BACKGROUND) | (own & (of >= 0))), minlength=len(keys)))
+        word = (keys & np.uint64(1)) == 0
+        asks = np.flatnonzero(blocks >= 0)
+        each = [[packed.pack(c[place[ends[i] - len(lists[i]) : ends[i]]]) for i in asks] for c in counts]
+        rest = [None] * len(asks)
+        return pa.table(
+            {
+                "block": pa.array([*blocks[asks], None], pa.int64()),
+                "bucket": pa.array(np.full(len(asks) + 1, table["bucket"][0].as_py()), pa.int64()),
+                "t": pa.array([*each[0], None], pa.binary()),
+                "b": pa.array([*each[1], None], pa.binary()),
+                "vocabulary": pa.array([*rest, int((word & (counts[0] + counts[1] > 0)).sum())], pa.int64()),
+                "target_words": pa.array([*rest, int(counts[0][word].sum())], pa.int64()),
+                "background_words": pa.array([*rest, int(counts[1][word].sum())], pa.int64()),
+            }
+        )
+
+    return answered
+
+
+def difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, text: str = "text", out: str = "lm", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without ``text`` and with ``out`` (``LOSSES``); without ``background`` the documents themselves are the background."""
+    size, texts = _size(docs, text)
+    (target_size, target_texts), own = _size(target, text), background is None
+    background_size, background_texts = (0, texts) if own else _size(background, text)
+    bits = packed.bucket_bits((size + target_size + background_size) // 3)
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 + size // block_bytes))
+    dealt = stored(docs.withColumn("__block", block))  # the deal must not change between the two readings
+
+    def counted(key: tuple, table: pa.Table) -> pa.Table:
+        found = pa.Table.from_batches([packed.rows(*packed.gathered(_keys(table[text])), bits)])
+        return found.append_column("block", pa.array(np.full(len(found), key[0].as_py(), np.int64)))
+
+    lists = dealt.select("__block", text).groupBy("__block").applyInArrow(counted, packed.SCHEMA + ", block long")
+    for corpus, number in ((target, TARGET), (background, BACKGROUND)):
+        if corpus is not None:
+            lists = lists.unionByName(corpus.select(text).mapInArrow(packed.mapper(text, _keys, bits), packed.SCHEMA).withColumn("block", F.lit(number).cast("long")))
+    summed = stored(lists.groupBy("bucket").applyInArrow(_answers(own), "block long, bucket long, t binary, b binary, vocabulary long, target_words long, background_words long"))
+    words, t, b = summed.where("block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("vocabulary", "target_words", "background_words"))).first()
+    totals = np.array([[t + target_texts], [b + background_texts]], float) + words + 2
+    answers = summed.where("block is not null").select(F.col("block").alias("__block"), "bucket", "t", "b")
+
+    def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, _ = packed.gathered(_keys(table[text]))
+        order = np.argsort(answers["bucket"].to_numpy())  # buckets are ranges, so their lists in order are the sorted keys
+        known = np.array([np.concatenate([np.empty(0, np.uint64), *(packed.unpack(answers[c][int(i)].as_py()) for i in order)]) for c in ("t", "b")], float)
         parts = []
-        for _, hashes, first in _documents(block[text]):
-            words, inner, pairs = _word_and_pair_keys(hashes, first)
-            each = known[:, _known(words, grams)]
-            p = (each + 1) / totals
-            p[:, inner] = (known[:, _known(pairs, grams)] + PRIOR * p[:, inner]) / (each[:, inner - 1] + PRIOR)
+        for first, words, inner, pairs in _documents(table[text]):
+            each = known[:, np.searchsorted(keys, words)]
+            loss = losses(each, each[:, inner - 1], known[:, np.searchsorted(keys, pairs)], inner, totals)
             n = np.diff(first)
             of = np.repeat(np.arange(len(n)), n)
-            parts.append((n, *(np.bincount(of, weights=x, minlength=len(n)) / np.maximum(n, 1) for x in -np.log(p))))
+            parts.append((n, *(np.bincount(of, weights=x, minlength=len(n)) / np.maximum(n, 1) for x in loss)))
         n, t, b = (np.concatenate(x) if x else np.empty(0) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
-        losses = pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(t), pa.array(b), pa.array(t - b)], ["n_words", "target_loss", "background_loss", "score"])
-        return block.drop_columns([text, "__block"]).append_column(out, losses)
+        found = pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(t), pa.array(b), pa.array(t - b)], ["n_words", "target_loss", "background_loss", "score"])
+        return table.drop_columns(["__block", text, *({out} & set(table.column_names))]).append_column(out, found)
 
-    schema = T.StructType([*docs.drop(text).schema.fields, T.StructField(out, T._parse_datatype_string(LOSSES))])
-    return dealt.groupBy("__block").cogroup(counts.groupBy("__block")).applyInArrow(scored, schema)
+    kept = [f for f in docs.schema.fields if f.name not in (text, out)]
+    schema = T.StructType([*kept, T.StructField(out, T._parse_datatype_string(LOSSES))])
+    return dealt.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(scored, schema)

@@ -3,29 +3,38 @@
 A document is its set of word n-gram hashes.  Documents link when
 ``100 * intersection >= percent * union``; components of links are returned.
 
-1. Equal sets are one class; from here on there is one node per class.
+1. Equal sets are one class; from here on there is one row per class.
 2. A set keeps the shingles that a partner must share one of (its prefix in a
    global order: shingles that many rows hold last, by exact counts, then by
-   hash).  Rows with one prefix shingle and compatible sizes form a session.  Pairs of
-   small sessions that share too few prefix shingles to reach the threshold
-   drop out by an exact bound; large sessions go on whole, as star edges.
-3. The components of what remains are the forests.  Each forest's sets travel
-   once, in blocks of bounded weight, and a signature tree joins them: nodes
-   hold OR-combined bitmaps of the shared shingles and size ranges, and a dual
-   traversal prunes node pairs whose largest possible overlap is too small or
-   that lie in one component already.  Leaves are compared exactly.
-4. Only a spanning forest of the links leaves a task.  A forest of one block
-   is final; components of the edges of the others settle what spans blocks.
-   The smallest document of every group names it.
+   hash).  At most ``RARE`` classes share a rare prefix shingle; their pairs of
+   compatible sizes stay if they share enough prefix shingles to reach the
+   threshold.  Classes that share a common one are tied by star edges, one
+   star for each shingle and range of sizes.
+3. The components of those edges are the forests.  All forests are laid in one
+   order and cut into blocks of bounded weight.  A signature tree joins each
+   forest of a block: nodes hold OR-combined bitmaps of the shared shingles and
+   size ranges, and a dual traversal prunes node pairs whose largest possible
+   overlap is too small or that lie in one component already.  Leaves are
+   compared exactly.
+4. A forest that lies in one block is then done.  A larger one is cut a second
+   time, by other minima of its sets, so that near copies meet; if it still has
+   several groups, its blocks are joined pair by pair, sets of one group left
+   out of the comparison.
+5. Only a spanning forest of the links leaves a task.  The smallest document of
+   every group names it.
 
 All bounds are exact, so no link between different sets is lost.  Null texts
 and texts without words have an empty set and link with nothing; fewer words
-than ``n`` are one shingle.  Repeated rows fall in one class.  Rows with a null
-id keep their size and get a null component.
+than ``n`` are one shingle.  Repeated rows fall in one class.  One id with
+several texts is several nodes, one row each.  Rows with a null id are nodes
+like others, but give no name: they get a null component.  Very long texts are
+read whole, each in one task.  An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +44,15 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.lineage import stored
-from . import textarrays
+from ..operators.ranking import numbered
+from . import packed, textarrays
 from .keyfilter import KeyFilter
 
-SMALL_SESSION = 32
-FREQUENT = (SMALL_SESSION, 512, 8192)  # rows with a shingle: each step puts it later in the global order
-FREQUENT_BITS = 24  # 2 MB for each step
-BLOCK_WEIGHT = 1 << 22  # shingles of a block: 32 MB
+RARE = 32
+STEPS = (RARE, 512, 8192)  # rows with a shingle: each step puts it later in the global order
+SET_WEIGHT = 64  # of a set beside its shingles: its share of bitmaps and objects
+BLOCK_WEIGHT = 1 << 19  # shingles of 8 bytes: 4 MB
+BITMAP_BYTES = 1 << 24  # of all leaves of a tree
 FANOUT = 16
 LEAF_BITS = 1 << 15
 
@@ -51,23 +62,27 @@ def _sets(texts, n: int) -> Iterator[np.ndarray]:
         yield from textarrays.shingle_sets(textarrays.Words(data, offsets), n)
 
 
-def frequent_shingles(docs: DataFrame, n: int, text: str = "text") -> list[KeyFilter]:
-    """One filter for each step of ``FREQUENT``: the shingles that more rows hold.
+def common_shingles(docs: DataFrame, n: int, text: str = "text") -> list[KeyFilter]:
+    """One filter for each of ``STEPS``: the shingles that more rows hold.
 
     Counts are exact and over all rows; a filter that takes in another shingle
     only moves it in an order that is the same for all sets.
     """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    bits = packed.bucket_bits(size // 6)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in textarrays.chunks(batch[text]):
-                sets = list(textarrays.shingle_sets(textarrays.Words(data, offsets), n))
-                token, count = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int32))], ["token", "n"])
+    def shingles(texts: pa.Array) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in textarrays.chunks(texts):
+            yield np.concatenate(list(textarrays.shingle_sets(textarrays.Words(data, offsets), n)))
+
+    def summed(table: pa.Table) -> pa.Table:
+        keys, rows = packed.merged([packed.unpack_keys(x.as_py()) for x in table["keys"]], [packed.unpack(x.as_py()).view(np.int64) for x in table["n"]])
+        common = rows > STEPS[0]
+        return pa.table({"token": keys[common].view(np.int64), "n": rows[common]})
 
-    counted = docs.select(text).mapInArrow(rows, "token long, n int").repartition("token")
-    frequent = stored(counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT[0]))
-    return [KeyFilter(frequent.where(F.col("n") > least), "token", FREQUENT_BITS) for least in FREQUENT]
+    counted = docs.select(text).mapInArrow(packed.mapper(text, shingles, bits), packed.SCHEMA)
+    common = stored(counted.groupBy("bucket").applyInArrow(summed, "token long, n long"))
+    return [KeyFilter(common.where(F.col("n") > least), "token") for least in STEPS]
 
 
 def prefix_length(n, percent: int):
@@ -75,105 +90,80 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefix_rows(docs: DataFrame, frequent: list[KeyFilter], n: int, percent: int, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n, set_key, prefix array<long>``; an empty set has a null key."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _text_id(doc_key: str, text: str):
+    """Tells one document from another, also where an id repeats or is null."""
+    return F.xxhash64(F.col(doc_key), F.col(text))
+
+
+def prefix_rows(docs: DataFrame, common: list[KeyFilter], n: int, percent: int, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, rid, n, set_key, rare array<long>, common array<long>``: prefix shingles below and above ``RARE`` rows; an empty set has a null key."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # bounded filters
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = shared.value
         for batch in batches:
-            sizes, keys, prefixes = [], [], []
-            for s in _sets(batch[text], n):
+            sizes, keys, rare, more = [], [], [], []
+            for s in _sets(batch["text"], n):
                 sizes.append(len(s))
                 keys.append(int(textarrays.mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0].view(np.int64)) if len(s) else None)
-                order = np.argsort(sum(step(s).astype(np.uint8) for step in steps), kind="stable")
-                prefixes.append(s[order[: prefix_length(len(s), percent)]] if len(s) else s)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.empty(0, np.int64)
+                step = sum(x(s).astype(np.uint8) for x in steps)
+                first = np.argsort(step, kind="stable")[: prefix_length(len(s), percent) if len(s) else 0]
+                rare.append(s[first[step[first] == 0]])
+                more.append(s[first[step[first] > 0]])
             yield pa.RecordBatch.from_arrays(
-                [batch[doc_key].cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "n", "set_key", "prefix"],
+                [batch["doc_id"], batch["rid"], pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), lists(rare), lists(more)], ["doc_id", "rid", "n", "set_key", "rare", "common"]
             )
 
-    return docs.select(doc_key, text).mapInArrow(rows, "doc_id long, n int, set_key long, prefix array<long>")
+    chosen = docs.select(F.col(doc_key).cast("long").alias("doc_id"), _text_id(doc_key, text).alias("rid"), F.col(text).alias("text"))
+    return chosen.mapInArrow(rows, "doc_id long, rid long, n int, set_key long, rare array<long>, common array<long>")
 
 
-def _session_rows(percent: int):
-    """Streams rows sorted by (token, n, key): pairs of small sessions, star edges of large ones."""
+def _pairs(percent: int):
+    """Rows sorted by (token, n, key), at most ``RARE`` a token: pairs of compatible sizes."""
 
-    def pairs(n: np.ndarray, key: np.ndarray, session: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(1, SMALL_SESSION):
-            ok = (session[k:] == session[:-k]) & (100 * n[:-k] >= percent * n[k:])
-            if not ok.any():
-                if not (session[k:] == session[:-k]).any():
-                    return
-                continue
+    def pairs(token: np.ndarray, n: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(1, RARE):
+            same = token[k:] == token[:-k]
+            if not same.any():
+                return
+            ok = same & (100 * n[:-k].astype(np.int64) >= percent * n[k:].astype(np.int64))
             a, b, na, nb = key[:-k][ok], key[k:][ok], n[:-k][ok], n[k:][ok]
             swap = a > b
-            yield out(np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb), 0)
-
-    def out(a, b, na, nb, star: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na), pa.array(nb), pa.array(np.full(len(a), star, np.int8))], ["a", "b", "na", "nb", "star"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, y, x)) for x, y in ((a, b), (b, a), (na, nb), (nb, na))], ["a", "b", "na", "nb"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
-        hub: tuple[int, int] | None = None  # (key, n) of the large session that the held rows continue
-
-        def flush(token, n, key, last: bool):
-            """Emits what is complete; keeps the rows of the session that may go on."""
-            nonlocal held, hub
-            if not len(token):
-                return
-            same = np.zeros(len(token), bool)
-            same[1:] = (token[1:] == token[:-1]) & (key[1:] == key[:-1])
-            token, n, key = token[~same], n[~same], key[~same]
-            opens = np.ones(len(token), bool)
-            opens[1:] = (token[1:] != token[:-1]) | (percent * n[1:].astype(np.int64) > 100 * n[:-1].astype(np.int64))
-            start = np.flatnonzero(opens)
-            size = np.diff(np.append(start, len(token)))
-            open_tail = 0 if last else int(size[-1])
-            large = size > SMALL_SESSION
-            if hub is not None:
-                large[0] = True
-            if not last and not large[-1]:
-                large[-1] = False
-            session = np.repeat(np.arange(len(start)), size)
-            done = np.arange(len(token)) < len(token) - (open_tail if not large[-1] else 0)
-            small = done & ~large[session]
-            if small.any():
-                yield from pairs(n[small], key[small], session[small])
-            big = done & large[session]
-            if big.any():
-                hub_key, hub_n = key[start].copy(), n[start].copy()
-                if hub is not None:
-                    hub_key[0], hub_n[0] = hub
-                yield out(key[big], hub_key[session[big]], n[big], hub_n[session[big]], 1)
-            if last:
-                held, hub = [token[:0], n[:0], key[:0]], None
-            elif large[-1]:
-                first = hub if hub is not None and len(start) == 1 else (int(key[start[-1]]), int(n[start[-1]]))
-                held, hub = [token[-1:], n[-1:], key[-1:]], first
-            else:
-                held, hub = [token[-open_tail:], n[-open_tail:], key[-open_tail:]], None
-
         for batch in batches:
+            held = [np.concatenate([a, batch[c].to_numpy()]) for a, c in zip(held, ("token", "n", "key"), strict=True)]
             if batch.num_rows:
-                new = [batch[c].to_numpy(zero_copy_only=False) for c in ("token", "n", "key")]
-                yield from flush(*(np.concatenate([a, b]) for a, b in zip(held, new, strict=True)), False)
-        yield from flush(*held, True)
+                done = np.searchsorted(held[0], held[0][-1])  # the last token may go on
+                yield from pairs(*(x[:done] for x in held))
+                held = [x[done:] for x in held]
+        yield from pairs(*held)
 
     return rows
 
 
-def candidate_edges(prefixes: DataFrame, percent: int) -> DataFrame:
-    """``a, b, na, nb``: class pairs that may link, and stars of the large sessions."""
-    tokens = prefixes.where("set_key is not null").select(F.explode("prefix").alias("token"), "n", F.col("set_key").alias("key"))
+def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: class pairs that may link by rare shingles, and the stars of the common ones."""
+    tokens = classes.select(F.explode("rare").alias("token"), "n", F.col("set_key").alias("key"))
     ordered = tokens.repartition("token").sortWithinPartitions("token", "n", "key")
-    found = ordered.mapInArrow(_session_rows(percent), "a long, b long, na int, nb int, star byte")
-    counted = found.groupBy("a", "b", "star").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    found = ordered.mapInArrow(_pairs(percent), "a long, b long, na int, nb int")
+    counted = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
     rest = F.greatest(*(F.floor((percent * F.col(x) + 99) / F.lit(100)) - 1 for x in ("na", "nb")))
-    return counted.where((F.col("star") == 1) | (F.col("c") >= need - rest - F.lit(1e-9))).select("a", "b", "na", "nb")
+    near = counted.where(F.col("c") >= need - rest - F.lit(1e-9)).select("a", "b")
+    # compatible sizes lie in one range or in neighbouring ones; a set stands in its own range and the next
+    band = F.floor(F.log("n") / F.lit(1.0001 * math.log(100 / percent)))
+    placed = classes.select(F.explode("common").alias("token"), F.col("set_key").alias("key"), band.alias("band"))
+    placed = placed.select("token", "key", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    hubs = placed.groupBy("token", "band").agg(F.min("key").alias("hub"))
+    stars = placed.join(hubs, ["token", "band"]).where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    return near.unionByName(stars).distinct()
 
 
 def _settle(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
@@ -190,8 +180,11 @@ def _settle(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def tree_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> np.ndarray:
-    """Component label of every set, joined by a dual traversal; with ``side``, only sets of different sides are compared."""
+def tree_links(sets: list[np.ndarray], percent: int, start: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
+    """Component label of every set, joined by a dual traversal.
+
+    Sets of one ``start`` number are joined already; with ``side``, only sets of different sides are compared.
+    """
     count = len(sets)
     order = np.lexsort((np.array([s[0] if len(s) else 0 for s in sets], np.uint64), np.array([len(s) for s in sets])))
     n = np.array([len(sets[i]) for i in order], np.int64)
@@ -202,7 +195,7 @@ def tree_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
     number = np.cumsum(shared) - 1
     mine = shared[place]
     bits = 64
-    while bits < min(LEAF_BITS, int(shared.sum())):
+    while bits < min(LEAF_BITS, int(shared.sum())) and bits * count < 4 * BITMAP_BYTES:
         bits *= 2
     exact = int(shared.sum()) <= bits
     column = number[place[mine]] % bits
@@ -216,6 +209,10 @@ def tree_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
         at = np.arange(0, len(m), FANOUT)
         levels.append((np.bitwise_or.reduceat(m, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(ex, at)))
     label = np.arange(count)
+    if start is not None:
+        begins = np.full(start.max() + 1, count)
+        np.minimum.at(begins, start[order], label)
+        label = begins[start[order]]
     sides = side[order] if side is not None else None
     tokens = [sets[i] for i in order]
 
@@ -266,57 +263,98 @@ def tree_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
     return out
 
 
-def _forest_links(percent: int):
-    def links(table: pa.Table) -> pa.Table:
-        keys, block = table["set_key"].to_numpy(), table["block"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        label = tree_links(sets, percent, block if len(np.unique(block)) > 1 else None)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        whole = bool(table["blocks"][0].as_py() == 1)
-        return pa.table({"node": keys[moved], "root": keys[label[moved]], "whole": np.full(len(moved), whole)})
-
-    return links
+def _cut_rows(table: pa.Table, start: str | None, side: str | None, percent: int) -> pa.Table:
+    """Links that the trees of the table's forests find: ``node, root``."""
+    keys, component = table["set_key"].to_numpy(), table["component"].to_numpy()
+    order = np.argsort(component, kind="stable")
+    found = []
+    for of in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+        if len(of) > 1:
+            sets = [np.frombuffer(table["shingles"][int(i)].as_py(), np.uint64) for i in of]
+            begins = np.unique(table[start].to_numpy()[of], return_inverse=True)[1] if start else None
+            sides = table[side].to_numpy()[of] if side else None
+            label = tree_links(sets, percent, begins, sides if sides is not None and (sides != sides[0]).any() else None)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            found.append((keys[of[moved]], keys[of[label[moved]]]))
+    node, root = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+    return pa.table({"node": node, "root": root})
 
 
 def shingle_rows(docs: DataFrame, wanted: KeyFilter, n: int, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, shingles binary`` of the documents whose hashed id is wanted."""
+    """``rid, shingles binary`` of the documents that are wanted, each once."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # a bounded filter
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(wanted(batch["hashed"].to_numpy())))
+            batch = batch.filter(pa.array(shared.value(batch["rid"].to_numpy())))
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([s.tobytes() for s in _sets(batch["text"], n)], pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch["rid"], pa.array([s.tobytes() for s in _sets(batch["text"], n)], pa.binary())], ["rid", "shingles"])
 
-    chosen = docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_key).cast("long")).alias("hashed"))
-    return chosen.mapInArrow(rows, "doc_id long, shingles binary")
+    chosen = docs.select(_text_id(doc_key, text).alias("rid"), F.col(text).alias("text"))
+    return chosen.mapInArrow(rows, "rid long, shingles binary").groupBy("rid").agg(F.first("shingles").alias("shingles"))
+
+
+def _blocks(placed: DataFrame, salt: int) -> DataFrame:
+    """Adds ``block``: forests one after another, in each the sets by a minimum of their hashed shingles, cut by weight."""
+    least = F.array_min(F.transform("signs", lambda x: F.xxhash64(F.lit(salt), x)))
+    ranked = numbered(
+        placed.select("component", "set_key", least.alias("least"), (F.col("n") + SET_WEIGHT).cast("long").alias("w")), [F.col("component"), F.col("least"), F.col("set_key")], running="w"
+    )
+    return placed.drop("signs").join(ranked.select("set_key", F.floor(F.col("running") / F.lit(BLOCK_WEIGHT)).alias("block")), "set_key")
+
+
+def _joined(sets: DataFrame, by: list[str], percent: int, start: str | None = None, side: str | None = None) -> DataFrame:
+    return stored(sets.groupBy(*by).applyInArrow(lambda table: _cut_rows(table, start, side, percent), "node long, root long"))
+
+
+def forest_links(placed: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of every set that links: ``placed`` has ``component, set_key, n, rid, signs``."""
+    first = stored(_blocks(placed, 1))
+    links = _joined(first.join(shingles, "rid"), ["block"], percent)
+    large = first.groupBy("component").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select("component")
+    large = stored(first.join(large, "component", "left_semi"))
+    if large.isEmpty():
+        return connected_components(links, "node", "root")
+    again = _blocks(placed.join(large.select("component").distinct(), "component", "left_semi"), 2)
+    links = links.unionByName(_joined(again.join(shingles, "rid"), ["block"], percent))
+    groups = connected_components(links, "node", "root").withColumnsRenamed({"node": "set_key", "component": "root"})
+    labelled = large.join(groups, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    several = labelled.groupBy("component").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sort_array(F.collect_set("block")).alias("blocks")).where("lo < hi")
+    apart = labelled.join(several.select("component", "blocks"), "component").withColumn("other", F.explode("blocks"))
+    pairs = apart.select("component", "set_key", "rid", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).where("i < j")
+    last = _joined(pairs.join(shingles, "rid"), ["component", "i", "j"], percent, "root", "block")
+    return connected_components(links.unionByName(last), "node", "root")
+
+
+def members(docs: DataFrame, n: int = 4, percent: int = 85, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, rid, n, root`` for every row: documents of one root are a group; an empty set has a null root."""
+    rows = stored(prefix_rows(docs, common_shingles(docs, n, text), n, percent, doc_key, text))
+    classes = rows.where("set_key is not null").groupBy("set_key")
+    classes = stored(classes.agg(F.min("rid").alias("rid"), *(F.first(c).alias(c) for c in ("n", "rare", "common"))))
+    forests = connected_components(candidate_edges(classes, percent), "a", "b").withColumnRenamed("node", "set_key")
+    signs = F.concat("rare", "common").alias("signs")
+    placed = stored(forests.join(classes.select("set_key", "n", "rid", signs), "set_key"))
+    shingles = shingle_rows(docs, KeyFilter(placed.select("rid"), "rid"), n, doc_key, text)
+    groups = forest_links(placed, shingles, percent).select(F.col("node").alias("set_key"), F.col("component").alias("root"))
+    return rows.select("doc_id", "rid", "n", "set_key").join(groups, "set_key", "left").select("doc_id", "rid", "n", F.coalesce("root", "set_key").alias("root"))
 
 
 def components(docs: DataFrame, n: int = 4, percent: int = 85, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
-    prefixes = stored(prefix_rows(docs, frequent_shingles(docs, n, text), n, percent, doc_key, text))
-    members = prefixes.select("doc_id", "n", "set_key")
-    classes = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    edges = stored(candidate_edges(prefixes, percent))
-    forests = connected_components(edges.select("a", "b"), "a", "b")
-    sizes = edges.select(F.col("a").alias("node"), F.col("na").alias("n")).unionByName(edges.select(F.col("b").alias("node"), F.col("nb").alias("n")))
-    sizes = sizes.groupBy("node").agg(F.max("n").alias("n"))
-    trees = forests.join(sizes, "node").groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK_WEIGHT)).cast("int").alias("blocks"))
-    placed = forests.join(trees, "component").join(classes, forests["node"] == classes["set_key"]).select("component", "blocks", "set_key", F.col("least").alias("doc_id"))
-    placed = stored(placed.where("doc_id is not null"))
-    wanted = KeyFilter(placed.select(F.xxhash64("doc_id").alias("hashed")), "hashed")
-    sets = placed.join(shingle_rows(docs, wanted, n, doc_key, text).dropDuplicates(["doc_id"]), "doc_id")
-    block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
-    dealt = (
-        sets.withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_key", "block", "blocks", "shingles")
-    )
-    links = stored(dealt.groupBy("component", "i", "j").applyInArrow(_forest_links(percent), "node long, root long, whole boolean"))
-    split = connected_components(links.where("not whole"), "node", "root").withColumnRenamed("component", "root")
-    groups = links.where("whole").select("node", "root").unionByName(split).withColumnRenamed("node", "set_key")
-    rooted = classes.join(groups, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    found = rooted.join(least, "root").select("set_key", "component")
-    return members.join(found, "set_key", "left").select(
+    rows = stored(members(docs, n, percent, doc_key, text))
+    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
+    return rows.join(least, "root", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id, then text hash; a row whose text has no words stays.
+
+    Rows that repeat one id with one text are one document and become one row.
+    """
+    rows = stored(members(docs, n, percent, doc_key, text).select("rid", "root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("rank")))
+    kept = rows.where("root is not null").groupBy("root").agg(F.min("rank").alias("rank")).select("rank.rid")
+    kept = kept.unionByName(rows.where("root is null").select("rid").distinct())
+    keyed = docs.withColumn("__rid", _text_id(doc_key, text)).join(kept.withColumnRenamed("rid", "__rid"), "__rid", "left_semi")
+    return keyed.dropDuplicates(["__rid"]).select(*docs.columns)

@@ -13,10 +13,8 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every near-duplicate group (five words, 80 percent) the smallest id stays."""
-    groups = ngramjoin.components(docs, n=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: one document of every near-duplicate group (five words, 80 percent) stays."""
+    return ngramjoin.one_of_each(docs, n=5, percent=80)
 
 
 QUERIES = {"op4_ngram_jaccard_join": op4_ngram_jaccard_join}

@@ -11,25 +11,11 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from shutterfold.llm import bpe, decontaminate, linededup, lmscore, mpeg, ngramjoin, pii, quality, textarrays, urlfilter, viterbi
-
-SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string"
-BASE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from an old oak tree near the river bank at dusk and count stars".split()
-
-
-def docs(spark, texts, extra=False):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)
-    return df.withColumns({"ids": F.lit("x"), "key": F.lit(1), "n": F.lit(2), "score": F.lit(3), "h": F.lit(4)}) if extra else df
-
-
-def words_of(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-
-
-ODD = [None, "", " ", "\n\n", "one", "One  two\tTHREE", "é漢字😀 x" * 3, "a" * 70_000, "same text here now", "same text here now"]
+from tests.llm.cases import BASE, DOCS, ODD, docs, words_of
 
+from shutterfold.llm import bpe, decontaminate, linededup, mpeg, pii, quality, textarrays, urlfilter, viterbi
 
+SF = "/root/testdata/sf0.001"
 # --- text arithmetic -------------------------------------------------------
 
 
@@ -46,99 +32,6 @@ def test_words_and_hashes_do_not_depend_on_place():
     assert found[0] == found[3][::-1] and found[4] == found[0][:1]
 
 
-# --- op1 -------------------------------------------------------------------
-
-
-def test_lm_scores_match_brute_force(spark):
-    rng = random.Random(1)
-    vocab = [f"w{i}" for i in range(30)]
-    target = [" ".join(rng.choices(vocab[:10], k=40)) for _ in range(20)]
-    corpus = [" ".join(rng.choices(vocab, k=30)) for _ in range(30)] + ODD[:7]
-    models = lmscore.train(docs(spark, target), docs(spark, corpus), word_share=0.01, bigram_share=0.002)
-    got = {r.doc_id: r.lm for r in lmscore.score(docs(spark, corpus, extra=True), models).collect()}
-
-    def counts(texts):
-        uni, bi = Counter(), []
-        for t in texts:
-            w = words_of(t)
-            uni.update(w)
-            bi.append(w)
-        return uni, bi
-
-    (ut, bt), (ub, bb) = counts(target), counts(corpus)
-    nt, nb = sum(ut.values()), sum(ub.values())
-    known = {w for w in ut | ub if ut[w] >= max(1, 0.01 * nt) or ub[w] >= max(1, 0.01 * nb)}
-    fold = lambda ws: [w if w in known else None for w in ws]
-
-    def model(texts_words, n):
-        h, pairs = Counter(), Counter()
-        for w in texts_words:
-            f = fold(w)
-            h.update(f)
-            pairs.update(zip(f, f[1:]))
-        return h, pairs, n
-
-    T, B = model(bt, nt), model(bb, nb)
-    pt, pb = sum(T[1].values()), sum(B[1].values())
-    kept = {p for p in T[1] | B[1] if T[1][p] >= max(1, 0.002 * pt) or B[1][p] >= max(1, 0.002 * pb)}
-
-    def loss(m, ws):
-        h, pairs, n = m
-        f, out = fold(ws), 0.0
-        for i, w in enumerate(f):
-            p = (h[w] + 1) / (n + len(known) + 1)
-            if i:
-                joint = pairs[f[i - 1], w] if (f[i - 1], w) in kept else 0
-                p = (joint + lmscore.PRIOR * p) / (h[f[i - 1]] + lmscore.PRIOR)
-            out -= np.log(p)
-        return out / max(1, len(f))
-
-    for i, t in enumerate(corpus):
-        w = words_of(t)
-        assert got[i].n_words == len(w)
-        assert got[i].target_loss == pytest.approx(loss(T, w)) and got[i].background_loss == pytest.approx(loss(B, w))
-        assert got[i].score == pytest.approx(loss(T, w) - loss(B, w), abs=1e-9)
-
-
-def test_lm_empty_corpus(spark):
-    empty = docs(spark, []).where("false")
-    models = lmscore.train(empty, empty)
-    assert lmscore.score(docs(spark, ["a b", None]), models).select("lm.score").collect()[1][0] == 0.0
-
-
-def test_lm_query_counts_every_word_and_bigram(spark, tmp_path):
-    from shutterfold.llm import lmscore_query
-
-    rng = random.Random(3)
-    texts = [" ".join(f"w{int(30_000 * rng.random() ** 3)}" for _ in range(1500)) for _ in range(400)] + ODD
-    turns = [" ".join(rng.choices(texts[i].split(), k=30)) for i in range(50)] + ["rareword onlyhere"]
-    docs(spark, texts).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    docs(spark, turns).select("text").write.parquet(f"{tmp_path}/conversations.parquet")
-
-    def counted(corpus):
-        one, two = Counter(), Counter()
-        for w in map(words_of, corpus):
-            one.update(w)
-            two.update(zip(w, w[1:]))
-        return one, two, sum(one.values())
-
-    models = counted(turns), counted(texts)
-    size = len(models[0][0] | models[1][0]) + 1
-    want = []
-    for w in map(words_of, texts):
-        row = []
-        for one, two, n in models:
-            p = [(one[x] + 1) / (n + size) for x in w]
-            p[1:] = [(two[a, x] + lmscore.PRIOR * q) / (one[a] + lmscore.PRIOR) for a, x, q in zip(w, w[1:], p[1:])]
-            row.append(-float(np.log(p).sum()) / max(1, len(w)))
-        want.append((len(w), *row, row[0] - row[1]))
-    got = lmscore_query.op1_lm_cross_entropy_difference(spark, str(tmp_path)).orderBy("doc_id").collect()
-    assert [r.doc_id for r in got] == list(range(len(texts)))
-    assert np.allclose([tuple(r)[1:] for r in got], want)
-    small = lmscore.difference(docs(spark, texts), docs(spark, turns), block_bytes=1 << 18).orderBy("doc_id").collect()  # many blocks
-    assert np.allclose([tuple(r.lm) for r in small], want)
-
-
 # --- op2 -------------------------------------------------------------------
 
 
@@ -231,77 +124,6 @@ def test_held_out_is_crc(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
-# --- op4 -------------------------------------------------------------------
-
-
-def brute_join(rows, n, percent):
-    sets = {}
-    for d, t in rows:
-        w = words_of(t)
-        sets[d] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
-    up = {d: d for d in sets}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                x, y = find(a), find(b)
-                up[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), find(d)) for d in ids}
-
-
-def family(rng, size, length, edits):
-    base = [f"w{rng.randrange(5000)}" for _ in range(length)]
-    out = []
-    for _ in range(size):
-        w = list(base)
-        for _ in range(rng.randint(0, edits)):
-            w[rng.randrange(length)] = f"x{rng.randrange(10**6)}"
-        out.append(" ".join(w))
-    return out
-
-
-@pytest.mark.parametrize("small,weight", [(32, 1 << 22), (4, 900)])
-def test_ngram_join_against_brute_force(spark, monkeypatch, small, weight):
-    """The second setting sends most groups through large sessions and several blocks."""
-    monkeypatch.setattr(ngramjoin, "SMALL_SESSION", small)
-    monkeypatch.setattr(ngramjoin, "BLOCK_WEIGHT", weight)
-    rng = random.Random(11)
-    texts = family(rng, 60, 90, 4) + family(rng, 25, 40, 2) + family(rng, 8, 300, 12) + family(rng, 10, 6, 1) + ODD + [" ".join(BASE)] * 12 + [f"w{i} w{i + 1} w{i + 2} w{i + 3}" for i in range(20)]
-    for n, percent in ((4, 85), (5, 80)):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.components(docs(spark, texts, extra=True), n, percent).collect()}
-        assert got == brute_join(list(enumerate(texts)), n, percent)
-
-
-def test_tree_links_hashed_bitmaps(monkeypatch):
-    monkeypatch.setattr(ngramjoin, "LEAF_BITS", 128)
-    rng = random.Random(3)
-    texts = family(rng, 40, 120, 6) + family(rng, 30, 80, 3)
-    sets = [np.unique(np.array([hash(tuple(words_of(t)[i : i + 3])) % (1 << 62) for i in range(len(words_of(t)) - 2)], np.uint64)) for t in texts]
-    label = ngramjoin.tree_links(sets, 80)
-    up = list(range(len(sets)))
-    for a in range(len(sets)):
-        for b in range(a):
-            o = len(np.intersect1d(sets[a], sets[b]))
-            if 180 * o >= 80 * (len(sets[a]) + len(sets[b])):
-                x, y = up[a], up[b]
-                up = [min(x, y) if u in (x, y) else u for u in up]
-    assert [[x == y for y in label] for x in label] == [[x == y for y in up] for x in up]
-
-
-def test_ngram_join_empty_and_null_ids(spark):
-    df = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (9, "A B c d e")], DOCS)
-    rows = ngramjoin.components(df).collect()
-    assert Counter((r.doc_id, r.component_id) for r in rows) == Counter({(None, None): 1, (3, 3): 2, (9, 3): 1})
-    assert ngramjoin.components(df.where("false")).count() == 0
-
-
 # --- op5 -------------------------------------------------------------------
 
 
