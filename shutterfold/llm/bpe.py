@@ -7,8 +7,10 @@ the merge result exactly when every adjacent pair is, and pair answers are
 memoised, so long pretokens take linear time.  Bytes stand as Latin-1
 characters, the form in which pyahocorasick finds all vocabulary matches.
 
-Nulls and empty texts encode to no ids; null ids decode to no bytes.  Other
-columns pass through; an output name that the input has already is replaced.
+Nulls and empty texts encode to no ids; null ids decode to no bytes; empty
+tables give no rows, repeated rows equal ids; very long texts are encoded
+whole.  Other columns pass through; an output name that the input has already
+is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 1 << 20
+MEMO = 1 << 18  # entries of each of three memos; with keys of at most 64 bytes they stay below 100 MB
 NEVER = 1 << 60
 
 

@@ -6,14 +6,19 @@ the smallest line hash in it: equal windows have equal fingerprints, so a
 repeated run that long is guaranteed to share one.  Only windows whose
 fingerprint stands at several positions go on; they join on their whole
 content, and all but the first occurrence (by document, then line) are
-deleted.  Forward windows extend a match from its left end, backward windows
-from its right end, so their union is the maximal repeated run.
+deleted.  Matches are extended both ways by windows, not line by line against
+one partner: forward windows extend from the left end, backward windows from
+the right end, so their union is the maximal repeated run, also where its head
+and its tail stand earlier in different documents.  One partner would lose
+such tails, and all partners are quadratic in the copies of a passage.
 
 Blank lines carry no words: they never match, and go with a run around them.
 A null or empty text stays as it is.  Rows with one id and one text are one
 document and get the same result; rows with one id and different texts are
 different documents, ordered by a hash of the text.  Rows with a null id pass
-unchanged.  Other columns pass through.
+unchanged.  Ties can't occur: places are distinct.  Empty tables give empty
+results, very long texts are read whole.  Other columns pass through, whatever
+their names; one named like ``removed`` is replaced.
 """
 
 from __future__ import annotations
@@ -100,10 +105,10 @@ def _without(lines: Column, runs: Column) -> Column:
 
 def dedup(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", removed: str = "lines_removed", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with later repeated runs deleted from ``text``, and ``removed``: how many lines went."""
-    runs = repeated_runs(docs, doc_key, text, min_words)
+    runs = repeated_runs(docs, doc_key, text, min_words).withColumnsRenamed({"doc": "__doc", "th": "__run_th", "runs": "__runs"})
     keyed = docs.withColumn("__th", F.xxhash64(text))
-    joined = keyed.join(runs, (keyed[doc_key] == runs["doc"]) & (keyed["__th"] == runs["th"]), "left")
-    count = F.coalesce(F.aggregate("runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0))
-    cleaned = F.when(F.col("runs").isNull(), F.col(text)).otherwise(_without(F.split(text, "\n", -1), F.col("runs")))
+    joined = keyed.join(runs, (F.col(doc_key) == F.col("__doc")) & (F.col("__th") == F.col("__run_th")), "left")
+    count = F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0))
+    cleaned = F.when(F.col("__runs").isNull(), F.col(text)).otherwise(_without(F.split(text, "\n", -1), F.col("__runs")))
     kept = [F.col(c) if c != text else cleaned.alias(text) for c in docs.columns if c != removed]
     return joined.select(*kept, count.cast("long").alias(removed))

@@ -17,8 +17,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Pipeline stage: repeated runs go from the texts; documents of which no word is left go."""
     cleaned = linededup.dedup(docs, removed="__removed")
     left = cleaned.where((F.col("__removed") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
-    length = F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", length).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)
 
 
 ORACLE = """

@@ -11,11 +11,12 @@ words and all bigrams count, however rare; no list is cut.
 probabilities of all words, the end and the unknown word sum to one after
 every ``h``.  The first word of a text has ``p(w)``; ends are not scored.
 
-Documents are dealt at random to blocks of about ``BLOCK_BYTES`` and written
-once.  A block sends the list of its distinct grams with their counts, by
-ranges of the hashed gram; the range sums them over both corpora and answers
-every block with the totals in the order of its list.  The block then scores
-its documents.  Nothing is broadcast, and the driver sees six numbers.
+Documents are written once as compressed blocks of about ``BLOCK_BYTES``, as
+they come, so no key can make a block large.  A block sends the list of its
+distinct grams with their counts, by ranges of the hashed gram; the range sums
+them over both corpora and answers every block with the totals in the order of
+its list.  The block then scores its documents.  Nothing is broadcast, and the
+driver sees nine numbers.
 
 Score of a document: mean over its words of target loss minus background loss
 (nats); lower means closer to the target.  Null and empty texts have 0 words
@@ -28,6 +29,7 @@ replaced.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,7 @@ from ..operators.lineage import stored
 from . import packed, textarrays
 
 PRIOR = 50.0
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 TARGET, BACKGROUND = -1, -2  # block numbers of lists that ask for no answer
 LOSSES = "struct<n_words:bigint,target_loss:double,background_loss:double,score:double>"
 
@@ -75,6 +77,39 @@ def _size(df: DataFrame, text: str) -> tuple[int, int]:
     return tuple(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.coalesce(F.sum(worded), F.lit(0))).first())
 
 
+def _packed_table(parts: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        for part in parts:
+            stream.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def blocks(docs: DataFrame, text: str, block_bytes: int) -> DataFrame:
+    """``block, rows binary``: runs of whole documents with all their columns; a longer text is a block of its own."""
+
+    def row(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([_packed_table(parts)], pa.binary())], ["block", "rows"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for lo, hi, data, _ in textarrays.chunks(batch[text], block_bytes):
+                if held and size + len(data) > block_bytes:
+                    yield row(held)
+                    held, size = [], 0
+                held.append(batch.slice(lo, hi - lo))
+                size += len(data)
+        if held:
+            yield row(held)
+
+    return stored(docs.mapInArrow(rows, "block long, rows binary"))  # stored: the numbers must stay
+
+
 def _answers(own: bool):
     """Totals of a bucket of grams: one row of numbers, and the answer to each block's list."""
 
@@ -112,23 +147,25 @@ def difference(docs: DataFrame, target: DataFrame, background: DataFrame | None
     (target_size, target_texts), own = _size(target, text), background is None
     background_size, background_texts = (0, texts) if own else _size(background, text)
     bits = packed.bucket_bits((size + target_size + background_size) // 3)
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 + size // block_bytes))
-    dealt = stored(docs.withColumn("__block", block))  # the deal must not change between the two readings
+    dealt = blocks(docs, text, block_bytes)
 
-    def counted(key: tuple, table: pa.Table) -> pa.Table:
-        found = pa.Table.from_batches([packed.rows(*packed.gathered(_keys(table[text])), bits)])
-        return found.append_column("block", pa.array(np.full(len(found), key[0].as_py(), np.int64)))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch["block"], batch["rows"], strict=True):
+                found = packed.rows(*packed.gathered(_keys(_table(data.as_py())[text])), bits)
+                yield found.append_column("block", pa.array(np.full(len(found), number.as_py(), np.int64)))
 
-    lists = dealt.select("__block", text).groupBy("__block").applyInArrow(counted, packed.SCHEMA + ", block long")
+    lists = dealt.mapInArrow(counted, packed.SCHEMA + ", block long")
     for corpus, number in ((target, TARGET), (background, BACKGROUND)):
         if corpus is not None:
             lists = lists.unionByName(corpus.select(text).mapInArrow(packed.mapper(text, _keys, bits), packed.SCHEMA).withColumn("block", F.lit(number).cast("long")))
     summed = stored(lists.groupBy("bucket").applyInArrow(_answers(own), "block long, bucket long, t binary, b binary, vocabulary long, target_words long, background_words long"))
     words, t, b = summed.where("block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("vocabulary", "target_words", "background_words"))).first()
     totals = np.array([[t + target_texts], [b + background_texts]], float) + words + 2
-    answers = summed.where("block is not null").select(F.col("block").alias("__block"), "bucket", "t", "b")
+    answers = summed.where("block is not null").select("block", "bucket", "t", "b")
 
-    def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def scored(block: pa.Table, answers: pa.Table) -> pa.Table:
+        table = _table(block["rows"][0].as_py())
         keys, _ = packed.gathered(_keys(table[text]))
         order = np.argsort(answers["bucket"].to_numpy())  # buckets are ranges, so their lists in order are the sorted keys
         known = np.array([np.concatenate([np.empty(0, np.uint64), *(packed.unpack(answers[c][int(i)].as_py()) for i in order)]) for c in ("t", "b")], float)
@@ -141,8 +178,8 @@ def difference(docs: DataFrame, target: DataFrame, background: DataFrame | None
             parts.append((n, *(np.bincount(of, weights=x, minlength=len(n)) / np.maximum(n, 1) for x in loss)))
         n, t, b = (np.concatenate(x) if x else np.empty(0) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
         found = pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(t), pa.array(b), pa.array(t - b)], ["n_words", "target_loss", "background_loss", "score"])
-        return table.drop_columns(["__block", text, *({out} & set(table.column_names))]).append_column(out, found)
+        return table.drop_columns([text, *({out} & set(table.column_names))]).append_column(out, found)
 
     kept = [f for f in docs.schema.fields if f.name not in (text, out)]
     schema = T.StructType([*kept, T.StructField(out, T._parse_datatype_string(LOSSES))])
-    return dealt.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(scored, schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)

@@ -2,16 +2,18 @@
 
 The base finds e-mail addresses, IPv4 addresses, card numbers and phone
 numbers in the text as it stands.  Transducers then rewrite disguises --
-look-alike characters to ASCII, spelled digits to digits, at/dot wordings to
-``@`` and ``.``, invisible characters to nothing -- while each output
+look-alike characters to ASCII, spelled digits to digits, at/dot wordings
+(also a bare "at" before a domain) to ``@`` and ``.``, invisible characters to
+nothing -- while each output
 character keeps the source range it came from.  What the same finders see
 only after rewriting is mapped back and added.
 
 An added span holds at least one rewritten character and differs from every
 base span; base spans are never removed, and an added one may enclose a base
 one.  Spans count code points, end exclusive.  Null and empty texts have no
-spans; other columns pass through and an output name that exists is replaced.
-Every finder is linear in the length of the text.
+spans, empty tables no rows; repeated rows get the same spans.  Other columns
+pass through and an output name that exists is replaced.  Every finder is
+linear in the length of the text, so very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,added:boolean>>"
 
 # The four base patterns; possessive runs take the same matches as greedy ones here, without retries.
-_LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]++\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -65,41 +66,15 @@ FOLD = _fold_table()
 _WORD = "|".join(DIGIT_WORDS)
 _AT = r"(?:(?<!\s)\s+)?[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
 _DOT = r"\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|DOT|Dot)\s+"
+# Words after which a bare "at" names a place, and those that follow it then.
+_BEFORE = ("me us him her it them you look looks looked see is are was were be here there now live meet shop order page site online available found more info hosted".split())
+_AFTER = "the|a|an|this|that|my|your|his|her|its|our|their"
+_BARE_AT = rf"(?<=[\w]){''.join(rf'(?<!\b{w})' for w in _BEFORE)}\s+at\s+(?!(?:{_AFTER})\s)"
 _REWRITE = re.compile(
-    rf"(?P<at>{_AT}|(?<!\s)\s+at\s+(?!(?:the|a|an|this|that|my|your|his|her|its|our|their)\s)(?=[\w-]+(?:{_DOT})[\w-]))|(?P<dot>(?<=[\w])(?:{_DOT})(?=[\w]))"
+    rf"(?P<at>{_AT}|{_BARE_AT}(?=[\w-]+(?:{_DOT})[\w-]|(?:[a-z0-9-]+\.)+[a-z]{{2,24}}\b(?!@)))|(?P<dot>(?<=[\w])(?:{_DOT})(?=[\w]))"
     rf"|(?P<plus>\bplus\s+(?=[0-9]|(?:{_WORD})\b))|\b(?P<digit>{_WORD})\b|(?P<gap>[{INVISIBLE}])",
     re.IGNORECASE,
 )
-# the last three equal "s", "k" and "i" where case is ignored
-_STRANGE = frozenset(INVISIBLE) | frozenset(map(chr, FOLD)) | frozenset("\u017f\u212a\u0130")
-_STRANGE_LATIN_1 = [c for c in _STRANGE if ord(c) < 256]
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|punkt|point|punto|\.)\s*[\])}>]", re.IGNORECASE)
-_PLUS = re.compile(rf"plus\s+(?:[0-9]|{_WORD})")
-_BARE_DOT = re.compile(r"\sdot\s")
-# a spelled digit of a number has a neighbour digit, plain or spelled, with nothing but separators of numbers between
-_SPELLED = re.compile(rf"(?:[0-9]|{_WORD})[ ().-]+(?:{_WORD})|(?:{_WORD})[ ().-]+[0-9]")
-
-
-def _has_strange(text: str) -> bool:
-    if text.isascii():
-        return False
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return not _STRANGE.isdisjoint(text)
-    return any(c in text for c in _STRANGE_LATIN_1)
-
-
-def disguised(text: str) -> bool:
-    """False only where rewriting can't add a span; each test is weaker than the rule of ``_REWRITE`` that it stands for.
-
-    An at wording without brackets needs a dot wording behind it.  Spelled digits alone never change what is an e-mail address.
-    """
-    if _has_strange(text) or _BRACKETED.search(text):
-        return True
-    low = text.lower()
-    return bool(_BARE_DOT.search(low) or _PLUS.search(low) or _SPELLED.search(low))
-
 
 def _luhn(digits: str) -> bool:
     total = 0
@@ -143,7 +118,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
 def rewritten(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     """The normalised text with, for each of its characters, source start, source end and whether it was rewritten."""
     folded = text.translate(FOLD)
-    pieces, lengths, rules, at = [], [], [], 0
+    pieces, lengths, at = [], [], 0
     for m in _REWRITE.finditer(folded):
         new = {"at": "@", "dot": ".", "plus": "+", "gap": ""}.get(m.lastgroup) if m.lastgroup != "digit" else DIGIT_WORDS[m["digit"].casefold().replace("\u0307", "")]
         pieces += [folded[at : m.start()], new]
@@ -172,7 +147,7 @@ def spans(text: str) -> list[tuple[int, int, int, bool]]:
     """(start, kind index, end, added), sorted by start, kind, end."""
     base = find(text)
     out = [(a, k, b, False) for a, k, b in base]
-    if disguised(text):
+    if _REWRITE.search(text) or (not text.isascii() and text.translate(FOLD) != text):  # else nothing is rewritten
         known = set(base)
         plain, starts, ends, changed = rewritten(text)
         for a, k, b in find(plain):

@@ -21,7 +21,7 @@ def op7_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: ~s["added"])
     return found.select(
-        "doc_id", *map(count, pii.KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")
+        "doc_id", *map(count, pii.KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans")
     )
 
 

@@ -7,10 +7,13 @@ a quantile of the training scores is the threshold, and scores are mapped to
 0..1 so that the threshold falls on ``CUT``.
 
 Fitting takes at most ``MAX_LABELLED`` labelled rows, chosen by a hash of
-their ids; that bound and ``PAIRS`` are the only limits, and scoring reads
-every text.  Null and empty texts get the score of an all-zero vector with
-length zero.  Ties in score fall on the same side of the threshold.  Without
-labels of both kinds every document scores 0.5.
+their ids, and ``PAIRS`` pairs drawn from them; these are the only limits, and
+scoring reads every text, however long.  A document labelled 0 and 1 counts as
+1.  Null and empty texts get the score of an all-zero vector with length zero.
+Repeated rows score alike, ties in score fall on the same side of the
+threshold.  Without labels of both kinds every document scores 0.5; an
+empty table gives no rows.  Other columns pass through, one named like ``out``
+is replaced.
 """
 
 from __future__ import annotations
@@ -109,7 +112,7 @@ def fit_rows(rows: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int
     centre = good.mean(axis=0)
     up, down = (good - centre) @ weights, (bad - centre) @ weights
     raw = np.concatenate([up, down])
-    grid = np.quantile(raw, np.linspace(0.005, 0.6, 240))
+    grid = np.quantile(raw, np.linspace(0.005, 0.995, 400))
     found = [(np.mean(up >= t) + np.mean(down < t), t) for t in grid]
     best = max(f for f, _ in found)
     threshold = float(np.median([t for f, t in found if f >= best - 1e-9]))

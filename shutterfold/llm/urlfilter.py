@@ -2,14 +2,17 @@
 
 Rules are (host, path, action): a rule fits its host and all subdomains when
 the path of the url starts with the rule's, and the longest rule wins.  Urls
-that redirects, canonical links or their own normal form tie together are
-aliases; connected components over those edges spread block decisions to
-aliases that no rule decides.  An explicit allow anywhere in a component takes
+that redirects or canonical links tie together are aliases (on request also
+urls of one normal form); connected components over those edges spread block
+decisions to aliases that no rule decides.  An explicit allow anywhere in a component takes
 precedence over its blocks there; a url's own rule always stands.
 
 A url without ``://`` or a null one has an empty host and path, fits no rule,
-has no alias and is allowed.  Repeated urls are decided once and alike.  Ties
-between rules of one length go to the longer host, then to allow.
+has no alias and is allowed.  Null html has no tags.  Repeated urls are
+decided once and alike; repeated pages stay.  Ties between rules of one length
+go to the longer host, then to allow.  Empty tables of pages, rules or edges
+are fine.  Other columns pass through; ``host``, ``path``, ``rule`` and
+``verdict`` are replaced where they exist.  Very long pages are read whole.
 """
 
 from __future__ import annotations
@@ -82,8 +85,8 @@ def resolved(target: Column, base: Column) -> Column:
     )
 
 
-def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``src, dst``: all canonical links and refresh redirects of the pages, relative ones resolved, and the normal form of every url named."""
+def page_edges(pages: DataFrame, url: str = "url", html: str = "html", normal_forms: bool = False) -> DataFrame:
+    """``src, dst``: all canonical links and refresh redirects of the pages, relative ones resolved; with ``normal_forms`` also every named url and its own."""
     links = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0))
     metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
     goes = F.concat(
@@ -93,6 +96,8 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     targets = F.transform(F.array_distinct(goes), lambda x: resolved(x, F.col(url)))
     named = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("src"), F.filter(targets, lambda x: x.isNotNull()).alias("goes"))
     links = named.select("src", F.explode("goes").alias("dst"))
+    if not normal_forms:
+        return links
     urls = named.select("src").unionByName(links.select(F.col("dst").alias("src"))).distinct()
     forms = urls.select("src", F.concat(F.lit("form:"), normal_form(F.col("src"))).alias("dst")).where("dst is not null")
     return links.unionByName(forms)
@@ -125,6 +130,6 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, url: str = "url"
     spread = members.join(of_component, "component").select(F.col("node").alias("__node"), F.when((F.col("blocks") == 1) & (F.col("allows") == 0), "block").otherwise("allow").alias("__spread"))
     own = decided.select(F.col("url").alias("__url"), F.col("rule").alias("__rule"), F.col("action").alias("__action"))
     host, path = host_and_path(F.col(url))
-    plain = pages.withColumns({"host": host, "path": path})
-    joined = plain.join(own, plain[url] == own["__url"], "left").join(spread, plain[url] == spread["__node"], "left")
-    return joined.withColumns({"rule": F.col("__rule"), "verdict": F.coalesce("__action", "__spread", F.lit("allow"))}).drop("__rule", "__action", "__url", "__node", "__spread")
+    joined = pages.join(own, F.col(url) == F.col("__url"), "left").join(spread, F.col(url) == F.col("__node"), "left")
+    judged = joined.withColumns({"host": host, "path": path, "rule": F.col("__rule"), "verdict": F.coalesce("__action", "__spread", F.lit("allow"))})
+    return judged.drop("__rule", "__action", "__url", "__node", "__spread")

@@ -10,10 +10,16 @@ one piece for each of its UTF-8 bytes (byte fallback).
 
 Spaces become the word mark, and one stands before every text that is not
 empty.  No piece holds a word mark after another character, so the best path
-of a text is that of its segments, and segments are memoised.  Scores add up
+of a text is that of its segments, and segments are memoised; with a
+vocabulary that has such pieces the whole text is one segment.  Scores add up
 in double precision, which is exact for whole-number scores; libraries that
-add in single precision agree until their sums round.  Null and empty texts count 0 pieces with score 0.  Other
-columns pass through; an existing output name is replaced.
+add in single precision agree until their sums round.  Counts are those of the
+unigram method over the table's pieces and scores, also where the table comes
+from a merge tokenizer.
+
+Null and empty texts count 0 pieces with score 0, empty tables give no rows,
+repeated rows count alike, very long texts are read whole.  Other columns pass
+through; an existing output name is replaced.
 """
 
 from __future__ import annotations
@@ -39,8 +45,7 @@ class Counter(dict):
 
     def __init__(self, pieces: dict[str, float]):
         super().__init__()
-        if any(MARK in x.lstrip(MARK) for x in pieces):
-            raise ValueError("a piece holds a word mark after another character")
+        self.whole = any(MARK in x.lstrip(MARK) for x in pieces)  # such pieces cross words, so texts aren't cut
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
@@ -76,6 +81,8 @@ class Counter(dict):
     def count(self, text: str) -> complex:
         if not text:
             return 0j
+        if self.whole:
+            return self.best(MARK + text.replace(" ", MARK))
         return sum(map(self.__getitem__, self.segments(MARK + text.replace(" ", MARK))), 0j)
 
 
