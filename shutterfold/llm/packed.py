@@ -15,8 +15,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-KEYS_A_BUCKET = 1 << 21
-GATHER = 1 << 21  # keys that a task holds before it sends them on
+KEYS_A_BUCKET = 1 << 20
+GATHER = 1 << 20  # keys that a task holds before it sends them on
 SCHEMA = "bucket long, keys binary, n binary"
 
 
