@@ -44,13 +44,42 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
 
 
 def epoch_seconds(text: Column) -> Column:
-    """``YYYY:MM:DD HH:MM[:SS]`` (dashes work too) to seconds, without a zone."""
-    pattern = r"^\s*([0-9]+)[:-]([0-9]+)[:-]([0-9]+)[ T]+([0-9]+):([0-9]+)(?::([0-9]+))?"
+    """``YYYY:MM:DD HH:MM[:SS]`` (dashes work too) to seconds, without a zone; whole numbers, one blank, nothing behind but further parts."""
+    pattern = r"^\s*([+]?[0-9]+)[:-]([+]?[0-9]+)[:-]([+]?[0-9]+)(?:[:-][^ ]*)? ([+-]?[0-9]+):([+-]?[0-9]+)(?::([+-]?[0-9]+)(?::.*)?)?\s*$"
     y, mo, d, h, mi, s = (F.regexp_extract(text, pattern, i).try_cast("long") for i in range(1, 7))
     whole = text.rlike(pattern) & mo.between(1, 12) & d.between(1, 31)
     return F.when(whole, days_from_civil(y, mo, d) * 86400 + h * 3600 + mi * 60 + F.coalesce(s, F.lit(0)))
 
 
+def photo_meta(exif: dict[str, Column]) -> Column:
+    """``struct<iso,aperture,shutter,focal,taken,width,height,camera,lens>`` from metadata texts and sensor sizes; width and height as displayed."""
+    size = display_size(exif["width"], exif["height"], exif["orientation"])
+    named = {
+        "iso": iso(exif["iso"]), "aperture": aperture(exif["aperture"]), "shutter": shutter(exif["shutter"]), "focal": focal(exif["focal"]), "taken": epoch_seconds(exif["datetime"]),
+        "width": size["w"], "height": size["h"], "camera": exif["camera"], "lens": exif["lens"],
+    }
+    return F.struct(*(value.alias(name) for name, value in named.items()))
+
+
+def is_empty(exif: dict[str, Column]) -> Column:
+    """None of the eight fields that a caption or a map could show."""
+    out = F.lit(True)
+    for name in ("camera", "lens", "aperture", "shutter", "iso", "datetime", "width", "gps"):
+        out &= exif[name].isNull()
+    return out
+
+
+def input_colour(icc: Column, colour_space: Column, interop: Column) -> Column:
+    """``icc`` where a profile is embedded, ``adobe_rgb`` for an uncalibrated space with index R03, else ``srgb``."""
+    index = F.upper(F.trim(F.trim(F.regexp_replace(interop, r"^[\x00 ]+|[\x00 ]+$", ""))))
+    return F.when(F.coalesce(F.length(icc), F.lit(0)) > 0, "icc").when((colour_space == 0xFFFF) & (index == "R03"), "adobe_rgb").otherwise("srgb")
+
+
+def rotation_orientation(rotation: Column) -> Column:
+    """Orientation 1 to 8 of a header rotation in degrees."""
+    return F.when(rotation == 90, 6).when(rotation == 180, 3).when(rotation == 270, 8).otherwise(1)
+
+
 def display_size(width: Column, height: Column, orientation: Column) -> Column:
     """``struct<w,h>`` with the sides swapped for orientations 5 to 8."""
     turned = F.coalesce(orientation, F.lit(1)).between(5, 8)

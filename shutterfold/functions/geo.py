@@ -80,3 +80,9 @@ def lut_sample(table: Column, size: int, r: Column, g: Column, b: Column) -> Col
     mixed = lambda a, c, f: a + (c - a) * f
     plane = lambda z: mixed(mixed(cell(r0, g0, z), cell(r1, g0, z), fr), mixed(cell(r0, g1, z), cell(r1, g1, z), fr), fg)
     return mixed(plane(b0), plane(b1), fb)
+
+
+def focus_regions(points: Column, orientation: Column) -> Column:
+    """Display boxes of the points in focus; empty where none is, and then the whole frame counts."""
+    chosen = F.filter(F.coalesce(points, F.array().cast("array<struct<cx:double,cy:double,w:double,h:double,in_focus:boolean,selected:boolean>>")), lambda p: p["in_focus"])
+    return F.transform(chosen, lambda p: oriented_box(p["cx"], p["cy"], p["w"], p["h"], orientation))

@@ -15,7 +15,7 @@ IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp", "heic", "heif", "tif", "tiff")
 FAMILIES = {"jpeg": "jpg", "heif": "heic", "tiff": "tif"}
 DISPLAY_ORDER = ("jpg", "jpeg", "heic", "heif", "png", "tif", "tiff", "webp")
 FORBIDDEN = '\\/:*?"<>|'
-COLOUR_TAGS = ("red", "yellow", "green", "blue", "purple")
+COLOUR_TAGS = ("orange", "pink", "teal", "blue", "purple")
 
 
 def ascii_lower(s: Column) -> Column:
@@ -32,8 +32,8 @@ def parent(path: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """Lower-case text after the last dot of the file name; null without one."""
-    found = F.regexp_extract(file_name(path), r"[^.]\.([^.]+)$", 1)
+    """Lower-case text after the last dot of the file name, when something stands before that dot; else null."""
+    found = F.regexp_extract(file_name(path), r"^.+\.([^.]+)$", 1)
     return F.when(found != "", ascii_lower(found))
 
 
@@ -121,25 +121,57 @@ def templated(template: str, values: dict[str, Column], original: Column) -> Col
 
 def split_folder(label: Column, stars: Column, tag: Column, by: str) -> Column:
     """Target sub-folder when splitting by label, stars or tag; a label split sends star-only items to their star folder."""
-    star = F.concat(stars.cast("string"), F.lit("star"))
+    star = F.when(stars >= 1, F.concat(F.least(stars, F.lit(5)).cast("string"), F.lit("star"))).otherwise("unrated")
     if by == "stars":
-        return F.when(stars > 0, star).otherwise("0star")
+        return star
     if by == "tag":
-        return F.when(tag.isNotNull(), F.concat(F.lit("@"), tag)).otherwise("@none")
-    return F.when(label != "unrated", label).when(stars > 0, star).otherwise("unrated")
+        return F.concat(F.lit("@"), F.coalesce(tag, F.lit("untagged")))
+    return F.when(label != "unrated", label).otherwise(star)
 
 
 def date_folder(exif_date: Column, modified: Column) -> Column:
-    """``YYYY-MM-DD`` of the capture date, else of the file time, else ``unknown``."""
-    parts = F.split(F.substring_index(exif_date, " ", 1), "[:-]")
-    whole = exif_date.rlike(r"^[0-9]{4}[:-][0-9]+[:-][0-9]+( |$)")
-    return F.when(whole, F.array_join(parts, "-")).otherwise(F.coalesce(F.date_format(modified, "yyyy-MM-dd"), F.lit("unknown")))
+    """``YYYY-MM-DD`` of the capture date (colons between its parts), else of the file time, else ``unknown-date``."""
+    date = F.regexp_extract(exif_date, r"^\s*([^\s]*)", 1)
+    capture = F.when(date.rlike(r"^[0-9]{4}:[0-9]*:[0-9]*$"), F.translate(date, ":", "-"))
+    return F.coalesce(capture, F.date_format(modified, "yyyy-MM-dd"), F.lit("unknown-date"))
 
 
 def focal_folder(text: Column) -> Column:
-    """Leading number rounded half away from zero, as ``35mm``; ``unknown`` for none or not above 0."""
-    value = F.regexp_extract(F.trim(text), r"^([0-9]*\.?[0-9]*)", 1).try_cast("double")
-    return F.when(value > 0, F.concat(F.floor(value + 0.5).cast("string"), F.lit("mm"))).otherwise("unknown")
+    """Leading number rounded half away from zero, as ``35mm``; ``unknown-focal`` for none or not above 0."""
+    value = F.regexp_extract(F.trim(text), r"^([0-9.]*)", 1).try_cast("double")
+    return F.when(value > 0, F.concat(F.floor(value + 0.5).cast("string"), F.lit("mm"))).otherwise("unknown-focal")
+
+
+def named_folder(text: Column, unknown: str) -> Column:
+    """A camera's or lens's folder; ``unknown`` where no name is left."""
+    clean = sanitized(text, F.lit("unknown"))
+    return F.when(clean != "unknown", clean).otherwise(unknown)
+
+
+def extension_folder(path: Column) -> Column:
+    return F.coalesce(F.upper(extension(path)), F.lit("unknown-ext"))
+
+
+def organise_folder(by: str, path: Column, exif_date: Column, modified: Column, camera: Column, lens: Column, focal: Column) -> Column:
+    """Target folder by date, camera, lens, focal length or extension; all but the last are the same for all members of an item."""
+    return {
+        "date": lambda: date_folder(exif_date, modified), "camera": lambda: named_folder(camera, "unknown-camera"), "lens": lambda: named_folder(lens, "unknown-lens"),
+        "focal": lambda: focal_folder(focal), "extension": lambda: extension_folder(path),
+    }[by]()
+
+
+def language(locale: Column) -> Column:
+    """``ko``, ``ja`` or ``en`` by the prefix of a locale code; null for others."""
+    code = F.substring(ascii_lower(F.trim(locale)), 1, 2)
+    return F.when(code.isin("ko", "ja", "en"), code)
+
+
+def map_url(template: str, lat: Column, lon: Column, zoom: Column) -> Column:
+    """A map link from ``{lat}``, ``{lon}`` and ``{zoom}``; null where a coordinate is."""
+    out = F.lit(template)
+    for name, value in {"lat": F.format_string("%.6f", lat), "lon": F.format_string("%.6f", lon), "zoom": zoom.cast("string")}.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return F.when(lat.isNotNull() & lon.isNotNull(), out)
 
 
 def size_text(n: Column) -> Column:

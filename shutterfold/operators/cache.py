@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import numbered
@@ -37,3 +39,48 @@ def newest(files: DataFrame, cap: int = 50_000, age: str = "mtime", key: str = "
 
 def totals(files: DataFrame, size: str = "size") -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
+ENTRIES = "array<struct<path:string, mtime:bigint, signature:bigint, dhash:bigint, aesthetic:double>>"
+
+
+def entries(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of saved cache lists; missing fields are null, the last entry of a path wins, text that is no list has none."""
+    found = documents.select(F.posexplode(F.from_json(text, ENTRIES, {"mode": "PERMISSIVE"})).alias("__at", "e")).where("e.path is not null")
+    return found.groupBy("e.path").agg(F.max_by("e", "__at").alias("e")).select("e.*")
+
+
+def cache_key(version: int, path: Column, size: Column, mtime: Column, edge: Column, heic: Column) -> Column:
+    """16 hex digits of all that makes a thumbnail; HEIC files have their own salt."""
+    hashed = F.xxhash64(F.lit(version), path, size.cast("long"), mtime.cast("long"), edge.cast("int"), F.when(heic, F.lit("heic")).otherwise(""))
+    return F.lpad(F.lower(F.hex(hashed)), 16, "0")
+
+
+BINS = 64
+
+
+@F.arrow_udf("binary")
+def packed_histogram(bins: pa.Array) -> pa.Array:
+    """3 x 64 counts (red, green, blue) as little-endian 32-bit numbers; null for another number of counts."""
+    return pa.array([np.array(x, "<u4").tobytes() if x is not None and len(x) == 3 * BINS else None for x in bins.to_pylist()], pa.binary())
+
+
+@F.arrow_udf("array<bigint>")
+def unpacked_histogram(data: pa.Array) -> pa.Array:
+    """The counts of ``packed_histogram``; null for another length."""
+    return pa.array([np.frombuffer(x, "<u4").tolist() if x is not None and len(x) == 12 * BINS else None for x in data.to_pylist()], pa.list_(pa.int64()))
+
+
+def histogram_top(bins: Column) -> Column:
+    """Height of a histogram's display: the largest count, at least 1."""
+    return F.greatest(F.coalesce(F.array_max(bins), F.lit(0)), F.lit(1))
+
+
+def store(thumbs: DataFrame, path: str) -> None:
+    """Adds thumbnails (``key, jpeg, histogram``) to a stored table; a commit is whole or not there."""
+    thumbs.select("key", "jpeg", packed_histogram("histogram").alias("histogram")).write.mode("append").parquet(path)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """An empty table in place of the stored one."""
+    spark.createDataFrame([], "key string, jpeg binary, histogram binary").write.mode("overwrite").parquet(path)

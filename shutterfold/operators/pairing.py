@@ -33,13 +33,17 @@ def pair(paths: DataFrame, path: str = "path") -> DataFrame:
         F.col(path).alias("path"), N.parent(F.col(path)).alias("folder"), N.ascii_lower(N.stem(F.col(path))).alias("key"),
         (N.kind(ext) == "raw").alias("raw"), F.when(N.kind(ext) == "image", N.family(ext)).alias("family"), N.display_rank(ext).alias("rank"),
     )
+    bit = F.lit(None).cast("int")
+    for i, f in enumerate(sorted({N.FAMILIES.get(e, e) for e in N.IMAGE_EXTENSIONS})):
+        bit = F.when(F.col("family") == f, 1 << i).otherwise(bit)
+    files = files.withColumn("family_bit", bit)
     sets = files.groupBy("key", "folder").agg(
-        F.max("raw").alias("any_raw"), F.max(F.col("family").isNotNull()).alias("any_image"), F.collect_set("family").alias("families"),
+        F.max("raw").alias("any_raw"), F.max(F.col("family").isNotNull()).alias("any_image"), F.coalesce(F.bit_or("family_bit"), F.lit(0)).alias("families"),
         F.collect_list(F.struct("path", "raw", "rank")).alias("files"),
     )
     per_stem = sets.groupBy("key").agg(
         F.count("*").alias("sets"), F.count_if(F.col("any_raw") & ~F.col("any_image")).alias("raw_only"), F.count_if(~F.col("any_raw") & F.col("any_image")).alias("image_only"),
-        F.count_if(F.col("any_raw") & F.col("any_image")).alias("mixed"), F.sum(F.size("families")).alias("family_sets"), F.size(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families_all"),
+        F.count_if(F.col("any_raw") & F.col("any_image")).alias("mixed"), F.sum(F.bit_count("families")).alias("family_sets"), F.bit_count(F.bit_or("families")).alias("families_all"),
     )
     merged = (F.col("sets") > 1) & (F.col("raw_only") == 1) & (F.col("image_only") >= 1) & (F.col("mixed") == 0) & (F.col("family_sets") == F.col("families_all"))
     placed = sets.join(per_stem.where(merged).select("key", F.lit(True).alias("merge")), "key", "left")

@@ -28,3 +28,14 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row", running: str
     if running:
         out = out.withColumn(total, F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("__v"))
     return out.drop("__part", "__n", "__v")
+
+
+def numbered_within(df: DataFrame, group: list[str], order: list[Column], name: str = "row") -> DataFrame:
+    """Adds 1-based ``name`` by ``order`` inside each group, however large one is: global numbers less those of the groups before."""
+    placed = numbered(df, [*(F.col(c) for c in group), *order], name)
+    first = placed.groupBy(*group).agg(F.min(name).alias("__first"))
+    same = F.lit(True)
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    starts = first.select(*(F.col(c).alias(f"__g_{c}") for c in group), "__first")
+    return placed.join(starts, same, "left").withColumn(name, F.col(name) - F.col("__first") + 1).drop("__first", *(f"__g_{c}" for c in group))

@@ -105,3 +105,45 @@ def jump_to_name(df: DataFrame, order: list[Column], stem: str, term: str) -> Da
     """First match in order, with the number of all matches."""
     found = df.where(matches_terms(F.col(stem), [term]))
     return found.orderBy(*order).limit(1).crossJoin(F.broadcast(found.agg(F.count("*").alias("matches"))))  # one row by one row
+
+
+def visible(chosen: DataFrame, shown: DataFrame, key: str = "item_id") -> DataFrame:
+    """The chosen items that the filter shows."""
+    return chosen.join(shown.select(key).distinct(), key, "left_semi")
+
+
+def place_after_filter(shown: DataFrame, order: list[Column], keep: object, key: str = "item_id") -> DataFrame:
+    """``place`` (from 0) of the item that was open; 0 where the new filter leaves it out."""
+    found = numbered(shown, order, "__row").where(F.col(key).eqNullSafe(F.lit(keep)))
+    return found.agg(F.coalesce(F.min("__row") - 1, F.lit(0)).alias("place"))
+
+
+def place_after_rating(place: Column, still_shown: Column, shown: Column) -> Column:
+    """One further while the item stays, else the same place, which the next one takes; never beyond the end, null for an empty list."""
+    return F.when(shown > 0, F.least(F.when(still_shown, place + 1).otherwise(place), shown - 1))
+
+
+HISTORY = 300
+
+
+def at_step(items: DataFrame, log: DataFrame, step: int, key: str = "item_id") -> DataFrame:
+    """Labels after ``step`` edits of a log ``(step, key, old_label, label)``: going back undoes, going forward redoes."""
+    done = F.col("step") <= step
+    last = log.groupBy(key).agg(F.max_by("label", F.when(done, F.col("step"))).alias("__new"), F.min_by("old_label", "step").alias("__old"), F.max(done).alias("__done"))
+    label = F.when(F.col("__done"), F.col("__new")).otherwise(F.coalesce("__old", "label"))
+    return items.join(last, key, "left").withColumn("label", label).drop("__new", "__old", "__done")
+
+
+def edited(log: DataFrame, edit: DataFrame, step: int) -> DataFrame:
+    """The log with an edit made after ``step``: later steps can't be redone any more, and only ``HISTORY`` steps stay."""
+    return log.where(F.col("step") <= step).unionByName(edit.withColumn("step", F.lit(step + 1).cast("long"))).where(F.col("step") > step + 1 - HISTORY)
+
+
+def of_generation(results: DataFrame, current: int | Column) -> DataFrame:
+    """Results asked for by the folder and order that are open now."""
+    return results.where(F.col("generation") == current)
+
+
+def last_touches(touches: DataFrame, key: str, seq: str) -> DataFrame:
+    """Only the newest touch of each key."""
+    return touches.groupBy(key).agg(F.max(seq).alias(seq))

@@ -1,44 +1,58 @@
 """Near-duplicate clusters of 64-bit perceptual hashes.
 
-Two hashes within distance k agree in one of k + 1 bands, so pairs meet in
-equi-joins on (band, value).  Equal hashes are one node, so copies cost
-nothing; what remains in a band are different hashes that share its value.
+The 64 bits are cut into k + ``SPARE`` blocks.  Two hashes within distance k
+differ in at most k of them, so they agree in ``SPARE`` blocks, and pairs meet
+in equi-joins on the values of every choice of ``SPARE`` blocks.  Equal hashes
+are one node, so copies cost nothing; what remains under a key are different
+hashes that share all its bits, more than a third of the 64 at distance 6.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 
+SPARE = 3
+
 
-def text_hash(text: Column) -> Column:
+@F.arrow_udf("long")
+def text_hash(texts: pa.Array) -> pa.Array:
     """64 bits of a text: 65 characters at even steps, a bit set where one is below the next, lowest bit first."""
-    n = F.length(text)
-    at = lambda i: F.ascii(F.substring(text, (F.floor(i * n / 65) + 1).cast("int"), F.lit(1)))
-    steps = F.sequence(F.lit(63), F.lit(0), F.lit(-1))  # highest bit first
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda v, i: F.shiftleft(v, 1).bitwiseOR(F.when(at(i) < at(i + 1), 1).otherwise(0).cast("long")))
+    found = []
+    for text in texts.to_pylist():  # places of characters are found at once in a Python string; a UTF-8 column would be scanned for each
+        if text is None:
+            found.append(None)
+            continue
+        at = [ord(text[i * len(text) // 65]) if text else 0 for i in range(65)]
+        bits = sum(1 << i for i in range(64) if at[i] < at[i + 1])
+        found.append(bits - (1 << 64) if bits >> 63 else bits)
+    return pa.array(found, pa.int64())
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands(k: int) -> list[tuple[int, int]]:
-    """(shift, width) of k + 1 bands that cover 64 bits."""
-    n = min(k + 1, 64)
+def masks(k: int, spare: int = SPARE) -> list[int]:
+    """Bit masks: hashes within distance k agree under one of them at least."""
+    n = min(k + spare, 64)
     edges = [round(i * 64 / n) for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    blocks = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(blocks, max(1, n - k))]
 
 
 def near_pairs(hashes: DataFrame, k: int, hash_column: str = "h") -> DataFrame:
     """``a, b`` with a < b: all pairs of distinct hashes within distance k."""
     distinct = hashes.select(hash_column).where(F.col(hash_column).isNotNull()).distinct()
-    value = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(hash_column, s).bitwiseAND((1 << w) - 1 if w < 64 else -1).alias("value")) for i, (s, w) in enumerate(bands(k))))
-    rows = distinct.select(F.col(hash_column).alias("h"), F.inline(value))
+    signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in masks(k)))
+    rows = distinct.select(F.col(hash_column).alias("h"), F.posexplode(signed).alias("mask", "bits")).select("h", "mask", F.col("h").bitwiseAND(F.col("bits")).alias("value"))
     left, right = rows.withColumnRenamed("h", "a"), rows.withColumnRenamed("h", "b")
-    near = left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (distance(F.col("a"), F.col("b")) <= k))
+    near = left.join(right, ["mask", "value"]).where((F.col("a") < F.col("b")) & (distance(F.col("a"), F.col("b")) <= k))
     return near.select("a", "b").distinct()
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from .components import connected_components
-from .ranking import numbered
+from .ranking import numbered, numbered_within
 
 
 def selected(labels: tuple[str, ...] = (), stars: tuple[int, ...] = (), tags: tuple[str, ...] = (), split: bool = False) -> Column:
@@ -41,8 +41,9 @@ def plan(items: DataFrame, chosen: Column, which: str = "both", order: str = "po
     ``grade_seq`` does so within a star count.
     """
     items = items.where(chosen).withColumn("members", companions(F.col("members"), which)).where(F.size("members") > 0)
-    placed = numbered(items, [F.col(order)], "seq")
-    graded = placed.withColumn("grade_seq", F.row_number().over(Window.partitionBy("stars").orderBy(order)).cast("long"))
+    places = numbered(items.select("item_id", "stars", F.col(order).alias("__at")), [F.col("__at"), F.col("item_id")], "seq")  # keys only are ranked
+    places = numbered_within(places, ["stars"], [F.col("__at"), F.col("item_id")], "grade_seq")
+    graded = items.join(places.select("item_id", "seq", "grade_seq"), "item_id")
     return graded.select("item_id", order, F.posexplode("members").alias("slot", "path"), "label", "stars", "tag", "seq", "grade_seq")
 
 
@@ -180,3 +181,9 @@ def execute(planned: DataFrame, move: bool = False) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "folder", "final_name", "status", "size"])
 
     return planned.select("path", "folder", "final_name").mapInPandas(send, "path string, folder string, final_name string, status string, size long")
+
+
+def organise(files: DataFrame, target: str, by: str) -> DataFrame:
+    """``folder, pos, item_id, name, path`` to resolve and send: one row per member of ``files`` (with ``item_id, pos, path, exif_date, modified, camera, lens, focal``)."""
+    folder = N.organise_folder(by, *(F.col(c) for c in ("path", "exif_date", "modified", "camera", "lens", "focal")))
+    return files.select(F.concat(F.lit(target.rstrip("/") + "/"), folder).alias("folder"), "pos", "item_id", N.file_name(F.col("path")).alias("name"), "path")

@@ -62,7 +62,7 @@ def capture_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents")
     ext = F.when(F.col("lang") == "en", "NEF").when(F.col("lang") == "fr", "jpg").when(F.col("lang") == "de", "JPEG").otherwise("heic")
-    return d.select(F.concat(F.lit("/"), "source", F.lit("/IMG_"), (F.col("doc_id") % 400).cast("string"), F.lit("."), ext).alias("path")).distinct()
+    return d.select(F.concat(F.lit("/"), "source", F.lit("/IMG_"), F.floor(F.col("doc_id") / 8).cast("string"), F.lit("."), ext).alias("path")).distinct()
 
 
 def pairing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +80,13 @@ def session_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers are items; every order is a saved record found by customer name or, one step later, by its member path."""
     c, o = _t(spark, sf_dir, "customer"), _classified(spark, sf_dir)
     items = c.select(F.col("c_custkey").alias("item"), F.lit("unrated").alias("label"), F.lit(0).alias("stars"), F.lit(None).cast("string").alias("tag"))
-    saved = o.where("item_id % 5 = 0").select(F.concat(F.lit("rec/"), "item_id").alias("key"), "label", "stars", "tag", F.array(F.concat(F.lit("Shots\\CUST"), "o_custkey", F.lit(".NEF"))).alias("members"))
+    saved = o.select(F.concat(F.lit("rec/"), "item_id").alias("key"), "label", "stars", "tag", F.array(F.concat(F.lit("Shots\\CUST"), "o_custkey", F.lit(".NEF"))).alias("members"))
     own = c.select(F.col("c_custkey").alias("item"), F.lit(1).alias("prio"), F.concat(F.lit("shots/cust"), "c_custkey", F.lit(".nef")).alias("key"))
     first = c.select(F.col("c_custkey").alias("item"), F.lit(0).alias("prio"), F.concat(F.lit("REC/"), F.col("c_custkey") * 5).alias("key"))
     return sessions.restore(items, own.unionByName(first), saved)
 
 
-SESSION_RESTORE = f"""WITH {ITEMS}, r AS (SELECT 'rec/' || item_id AS record, item_id, label, stars, tag, o_custkey FROM items WHERE item_id % 5 = 0
+SESSION_RESTORE = f"""WITH {ITEMS}, r AS (SELECT 'rec/' || item_id AS record, item_id, label, stars, tag, o_custkey FROM items
 ), m AS (SELECT item, record, min(prio) AS prio, any_value(label) AS label, any_value(stars) AS stars, any_value(tag) AS tag FROM (
   SELECT c_custkey AS item, record, 1 AS prio, label, stars, tag FROM customer JOIN r ON o_custkey = c_custkey UNION ALL
   SELECT c_custkey, record, 0, label, stars, tag FROM customer JOIN r ON r.item_id = c_custkey * 5) GROUP BY item, record
@@ -95,27 +95,28 @@ SELECT c_custkey AS item, coalesce(g.label, 'unrated') AS label, coalesce(g.star
 
 
 def session_save(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flat save that keeps unclaimed records of sub-folders."""
+    """A flat save of all orders that keeps records of sub-folders (two stars or more) which no tagged order reads."""
     o = _classified(spark, sf_dir)
     none = F.array().cast("array<string>")
-    items = o.where("item_id % 4 = 0").select(F.concat(F.lit("p"), "item_id").alias("key"), "label", "stars", "tag", none.alias("members"))
-    saved = o.where("item_id % 3 = 0").select(F.concat(F.when(F.col("item_id") % 2 == 0, "sub/").otherwise(""), F.lit("p"), "item_id").alias("key"), "label", "stars", "tag", none.alias("members"))
-    claimed = o.where("item_id % 9 = 0").select(F.concat(F.lit("sub/p"), "item_id").alias("key"))
-    return sessions.save(items, saved, claimed, recursive=False).drop("members")
+    place = lambda inside: F.concat(F.when(inside, "sub/").otherwise(""), F.lit("p"), "item_id").alias("key")
+    items = o.select(place(F.lit(False)), "label", "stars", "tag", none.alias("members"))
+    saved = o.select(place(F.col("stars") >= 2), "label", "stars", "tag", none.alias("members"))
+    candidates = o.select(F.col("item_id").alias("item"), F.lit(0).alias("prio"), place(F.col("tag").isNotNull()))
+    return sessions.save(items, saved, sessions.claimed(candidates, saved), recursive=False).drop("members")
 
 
-SESSION_SAVE = f"""WITH {ITEMS} SELECT 'p' || item_id AS key, label, stars, tag FROM items WHERE item_id % 4 = 0 AND (label <> 'unrated' OR stars > 0 OR tag IS NOT NULL)
-UNION ALL SELECT 'sub/p' || item_id, label, stars, tag FROM items WHERE item_id % 3 = 0 AND item_id % 2 = 0 AND item_id % 9 <> 0"""
+SESSION_SAVE = f"""WITH {ITEMS} SELECT 'p' || item_id AS key, label, stars, tag FROM items WHERE label <> 'unrated' OR stars > 0 OR tag IS NOT NULL
+UNION ALL SELECT 'sub/p' || item_id, label, stars, tag FROM items WHERE stars >= 2 AND tag IS NULL"""
 
 
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _classified(spark, sf_dir).select(F.concat(F.lit("k"), "item_id").alias("key"), "label", "stars", "tag")
-    return sessions.summary(o).select("section", "n", F.array_join("keys", ",").alias("keys"))
+    return sessions.summary(o)
 
 
 SESSION_SUMMARY = f"""WITH {ITEMS}, s AS (SELECT unnest([CASE WHEN label IN ('pick', 'hold', 'reject') THEN label END, CASE WHEN stars BETWEEN 1 AND 5 THEN stars || 'star' END, '@' || tag]) AS section, 'k' || item_id AS key FROM items
-), u AS (SELECT section, count(*) AS n, string_agg(key, ',' ORDER BY key) AS keys FROM s WHERE section IS NOT NULL GROUP BY section)
-SELECT * FROM u UNION ALL SELECT f, 0, '' FROM (VALUES ('pick'), ('hold'), ('reject')) v(f) WHERE f NOT IN (SELECT section FROM u)"""
+), u AS (SELECT section, count(*) OVER (PARTITION BY section) AS n, row_number() OVER (PARTITION BY section ORDER BY key) AS place, key FROM s WHERE section IS NOT NULL)
+SELECT * FROM u UNION ALL SELECT f, 0, NULL, NULL FROM (VALUES ('pick'), ('hold'), ('reject')) v(f) WHERE f NOT IN (SELECT section FROM u)"""
 
 
 def _transfer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +174,7 @@ def organize_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORGANIZE_PREVIEW = """SELECT strftime(o_orderdate, '%Y-%m-%d') AS folder, count(*) AS files, 'date' AS by FROM orders GROUP BY 1
-UNION ALL SELECT CASE WHEN v > 0 THEN CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) || 'mm' ELSE 'unknown' END, count(*), 'focal' FROM (SELECT p_size - 1 + CASE WHEN p_partkey % 2 = 0 THEN 0.5 ELSE 0 END AS v FROM part) GROUP BY 1"""
+UNION ALL SELECT CASE WHEN v > 0 THEN CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) || 'mm' ELSE 'unknown-focal' END, count(*), 'focal' FROM (SELECT p_size - 1 + CASE WHEN p_partkey % 2 = 0 THEN 0.5 ELSE 0 END AS v FROM part) GROUP BY 1"""
 
 
 def cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,11 +243,11 @@ def near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest text of every cluster."""
     found = similar.clusters(_hashed(spark, sf_dir), DISTANCE, "h", "doc_id")
-    placed = found.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("n_chars").desc(), "doc_id")))
-    return placed.where("place = 1").select("doc_id", "cluster")
+    best = found.groupBy("cluster").agg(F.min(F.struct(-F.col("n_chars"), "doc_id")).alias("b"))  # combines before the shuffle, however large a cluster
+    return best.select("b.doc_id", "cluster")
 
 
-PAIRING_SQL = """WITH paths AS (SELECT DISTINCT source AS folder, 'img_' || (doc_id % 400) AS key, '/' || source || '/IMG_' || (doc_id % 400) || CASE lang WHEN 'en' THEN '.NEF' WHEN 'fr' THEN '.jpg' WHEN 'de' THEN '.JPEG' ELSE '.heic' END AS path,
+PAIRING_SQL = """WITH paths AS (SELECT DISTINCT source AS folder, 'img_' || (doc_id // 8) AS key, '/' || source || '/IMG_' || (doc_id // 8) || CASE lang WHEN 'en' THEN '.NEF' WHEN 'fr' THEN '.jpg' WHEN 'de' THEN '.JPEG' ELSE '.heic' END AS path,
   lang = 'en' AS raw, CASE WHEN lang IN ('fr', 'de') THEN 'jpg' WHEN lang <> 'en' THEN 'heic' END AS family, CASE lang WHEN 'en' THEN 98 WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS rank FROM documents),
 sets AS (SELECT key, folder, bool_or(raw) AS r, bool_or(NOT raw) AS i, count(DISTINCT family) AS nf FROM paths GROUP BY ALL),
 stems AS (SELECT key, count(*) AS n, count(*) FILTER (r AND NOT i) AS ro, count(*) FILTER (i AND NOT r) AS io, count(*) FILTER (r AND i) AS mx, sum(nf) AS fs, (SELECT count(DISTINCT family) FROM paths p WHERE p.key = sets.key) AS fa FROM sets GROUP BY key),

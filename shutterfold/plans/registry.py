@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collection_queries, cull_queries, measure_queries, stream_queries
+from . import collection_queries, cull_queries, decision_queries, measure_queries, stream_queries
 
-MODULES = (cull_queries, collection_queries, measure_queries, stream_queries)
+MODULES = (cull_queries, collection_queries, decision_queries, measure_queries, stream_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}
