@@ -42,7 +42,7 @@ from ..operators.lineage import stored
 from . import packed, textarrays
 
 PRIOR = 50.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 TARGET, BACKGROUND = -1, -2  # block numbers of lists that ask for no answer
 LOSSES = "struct<n_words:bigint,target_loss:double,background_loss:double,score:double>"
 
@@ -124,7 +124,7 @@ def _answers(own: bool):
         counts.append(np.bincount(place, weights=n * ((of == BACKGROUND) | (own & (of >= 0))), minlength=len(keys)))
         word = (keys & np.uint64(1)) == 0
         asks = np.flatnonzero(blocks >= 0)
-        each = [[packed.pack(c[place[ends[i] - len(lists[i]) : ends[i]]]) for i in asks] for c in counts]
+        each = [[packed.pack(c[place[ends[i] - len(lists[i]) : ends[i]]].astype(np.int64)) for i in asks] for c in counts]
         rest = [None] * len(asks)
         return pa.table(
             {

@@ -2,8 +2,8 @@
 
 A task that holds many hashed keys sorts them and sends, for each range of
 keys (a bucket: their top bits), one row with the whole list.  Sorted keys
-travel as differences, numbers as planes of equal bytes, so that leading zero
-bytes stand together and the shuffle's compression removes them.  A bucket's
+travel as differences without their leading zero bytes, most counts as one
+byte.  A bucket's
 rows meet in one group of about ``KEYS_A_BUCKET`` keys, whatever the corpus.
 A key that is frequent has at most one entry for each list.
 """
@@ -17,6 +17,7 @@ import pyarrow as pa
 
 KEYS_A_BUCKET = 1 << 20
 GATHER = 1 << 20  # keys that a task holds before it sends them on
+LARGE = 255
 SCHEMA = "bucket long, keys binary, n binary"
 
 
@@ -25,16 +26,35 @@ def bucket_bits(keys: int) -> int:
     return min(32, (keys // KEYS_A_BUCKET).bit_length())
 
 
-def pack(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8).T).tobytes()
+def pack(counts: np.ndarray) -> bytes:
+    """One byte a count; those of ``LARGE`` or more follow in full."""
+    large = counts[counts >= LARGE].astype(np.uint64)
+    return np.minimum(counts, LARGE).astype(np.uint8).tobytes() + large.tobytes() + len(large).to_bytes(8, "little")
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    large = int.from_bytes(data[-8:], "little")
+    out = np.frombuffer(data, np.uint8, len(data) - 8 * (large + 1)).astype(np.uint64)
+    out[out == LARGE] = np.frombuffer(data, np.uint64, large, len(out))
+    return out
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """The first key, then planes of the bytes that the differences need."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    planes = steps.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return keys[:1].tobytes() + bytes([width]) + np.ascontiguousarray(planes).tobytes()
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
+    width = data[8]
+    planes = np.frombuffer(data, np.uint8, offset=9).reshape(width, -1)
+    out = np.zeros((planes.shape[1] + 1, 8), np.uint8)
+    out[1:, :width] = planes.T
+    out = out.view(np.uint64).ravel()
+    out[0] = int.from_bytes(data[:8], "little")
+    return np.cumsum(out, dtype=np.uint64)
 
 
 def rows(keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -42,7 +62,7 @@ def rows(keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
     bucket = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
     first = np.searchsorted(bucket, np.unique(bucket))
     ends = [*zip(first, [*first[1:], len(keys)])]
-    lists = [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in ends]
+    lists = [pack_keys(keys[a:b]) for a, b in ends]
     counts = [pack(n[a:b]) for a, b in ends]
     return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), pa.array(lists, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "keys", "n"])
 
