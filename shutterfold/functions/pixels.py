@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 HIGH_CLIP, LOW_CLIP = 250, 5
 LOW_Q, HIGH_Q = 0.005, 0.995
+LEAST_BOX, IN_FOCUS = 0.06, 0.45
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:
@@ -58,36 +59,43 @@ def gray(rgb: np.ndarray) -> np.ndarray:
     return (54 * x[..., 0] + 183 * x[..., 1] + 19 * x[..., 2]) >> 8
 
 
-def laplacian_rms(g: np.ndarray) -> tuple[float, int]:
-    """Root mean square of 4c-l-r-u-d over inner pixels, and their number."""
+def _edge_energy(g: np.ndarray) -> np.ndarray:
+    """4c-l-r-u-d of the pixels that have all four neighbours, in the place of those pixels; zero on the border."""
     g = g.astype(np.float64)
-    if min(g.shape) < 3:
-        return 0.0, 0
-    e = 4 * g[1:-1, 1:-1] - g[1:-1, :-2] - g[1:-1, 2:] - g[:-2, 1:-1] - g[2:, 1:-1]
-    return float(np.sqrt((e * e).mean())), e.size
+    out = np.zeros(g.shape)
+    out[1:-1, 1:-1] = 4 * g[1:-1, 1:-1] - g[1:-1, :-2] - g[1:-1, 2:] - g[:-2, 1:-1] - g[2:, 1:-1]
+    return out
 
 
-def sharpness(g: np.ndarray, regions: list[tuple[float, float, float, float]] | None = None) -> float:
-    """a / (a + 8) of the edge energy: of the whole frame, or of boxes (cx, cy, w, h) at least 0.06 wide, weighted by pixels."""
-    if not regions:
-        a, _ = laplacian_rms(g)
-        return a / (a + 8)
+def acutance(g: np.ndarray, regions: list[tuple[float, float, float, float]] | None = None) -> float:
+    """Root mean square of the edge energy over the frame, or over all pixels of boxes (cx, cy, w, h) at least 0.06 wide."""
     h, w = g.shape
-    total = weight = 0.0
-    for cx, cy, bw, bh in regions:
-        bw, bh = max(bw, 0.06), max(bh, 0.06)
-        x0, x1 = max(0, int((cx - bw / 2) * w)), min(w, int(np.ceil((cx + bw / 2) * w)))
-        y0, y1 = max(0, int((cy - bh / 2) * h)), min(h, int(np.ceil((cy + bh / 2) * h)))
-        a, n = laplacian_rms(g[y0:y1, x0:x1])
-        total, weight = total + a * n, weight + n
-    a = total / weight if weight else 0.0
+    if min(h, w) < 3:
+        return 0.0
+    e = _edge_energy(g)
+    total = n = 0.0
+    for cx, cy, bw, bh in regions or []:
+        bw, bh = max(bw, LEAST_BOX), max(bh, LEAST_BOX)
+        x0, x1 = (int(min(max((cx + s * bw / 2) * w, 0), w)) for s in (-1, 1))
+        y0, y1 = (int(min(max((cy + s * bh / 2) * h, 0), h)) for s in (-1, 1))
+        box = e[max(y0, 1) : min(y1, h - 1), max(x0, 1) : min(x1, w - 1)]
+        total, n = total + float((box * box).sum()), n + box.size
+    if not n:
+        box = e[1:-1, 1:-1]
+        total, n = float((box * box).sum()), box.size
+    return float(np.sqrt(total / n))
+
+
+def sharpness(g: np.ndarray, regions: list[tuple[float, float, float, float]] | None = None) -> float:
+    """a / (a + 8) of the acutance."""
+    a = acutance(g, regions)
     return a / (a + 8)
 
 
 def tilt(g: np.ndarray) -> tuple[float, float]:
     """(degrees, confidence) from a weighted histogram of Sobel edge angles within 12 degrees of level or plumb."""
     g = g.astype(np.float64)
-    if min(g.shape) < 3:
+    if min(g.shape) < 8:
         return 0.0, 0.0
     gx = (g[:-2, 2:] + 2 * g[1:-1, 2:] + g[2:, 2:]) - (g[:-2, :-2] + 2 * g[1:-1, :-2] + g[2:, :-2])
     gy = (g[2:, :-2] + 2 * g[2:, 1:-1] + g[2:, 2:]) - (g[:-2, :-2] + 2 * g[:-2, 1:-1] + g[:-2, 2:])
@@ -146,40 +154,71 @@ def oriented(rgb: np.ndarray, orientation: int) -> np.ndarray:
     return turns.get(orientation, lambda a: a)(rgb)
 
 
+def _triangle(size: int, out: int) -> np.ndarray:
+    """(out, size) weights of a triangle filter as wide as the reduction."""
+    scale = size / out
+    reach = max(scale, 1.0)
+    centre = (np.arange(out) + 0.5) * scale
+    weights = np.maximum(0, 1 - np.abs(np.arange(size)[None, :] + 0.5 - centre[:, None]) / reach)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
 def shrunk(image: np.ndarray, edge: int) -> np.ndarray:
-    """Longest side at most ``edge`` by box averages; smaller images stay."""
+    """Longest side at most ``edge`` by a triangle filter; smaller images stay."""
     h, w = image.shape[:2]
     if max(h, w) <= edge:
         return image
     nh, nw = max(1, round(h * edge / max(h, w))), max(1, round(w * edge / max(h, w)))
-    ys, xs = np.linspace(0, h, nh + 1).astype(int)[:-1], np.linspace(0, w, nw + 1).astype(int)[:-1]
-    sums = np.add.reduceat(np.add.reduceat(image.astype(np.float64), ys, axis=0), xs, axis=1)
-    area = np.diff(np.append(ys, h))[:, None] * np.diff(np.append(xs, w))[None, :]
-    return np.round(sums / (area[..., None] if image.ndim == 3 else area)).astype(image.dtype)
+    tall = np.tensordot(_triangle(h, nh), image.astype(np.float64), axes=(1, 0))
+    both = np.moveaxis(np.tensordot(_triangle(w, nw), tall, axes=(1, 1)), 0, 1)
+    return np.clip(np.floor(both + 0.5), 0, 255).astype(image.dtype)
 
 
-REPORT = "struct<exposure:float,mean:float,sharpness:float,tilt:float,tilt_confidence:float,dhash:bigint,histogram:array<int>>"
+REPORT = "struct<exposure:float,mean:float,sharpness:float,in_focus:boolean,tilt:float,tilt_confidence:float,dhash:bigint,histogram:array<int>,good:boolean>"
+SIGNALS = ("exposure", "focus", "tilt")
 
 
-def report(image: np.ndarray) -> dict:
-    g = gray(image)
-    degrees, confidence = tilt(shrunk(g, 512))
-    e = exposure_of(g)
-    return {"exposure": e["score"], "mean": e["mean"], "sharpness": sharpness(shrunk(g, 1024)), "tilt": degrees, "tilt_confidence": confidence, "dhash": dhash(image), "histogram": rgb_histogram(image)}
-
+def report(image: np.ndarray, signals: tuple[str, ...] = SIGNALS, regions: list[tuple[float, float, float, float]] | None = None, limits: dict[str, float] | None = None) -> dict:
+    """Measures of an image; signals that are off stay at zero.
 
-def score_images(images: DataFrame, image: str = "image", out: str = "report") -> DataFrame:
-    """Adds ``out`` to rows of Spark's image source (BGR or BGRA bytes); null where an image can't be measured."""
+    With ``regions`` focus is measured there, else over the whole frame.
+    ``good`` is the verdict of ``limits`` (least exposure and focus, most tilt)
+    over the signals that are on; a tilt of little confidence doesn't count.
+    """
+    g = gray(image)
+    degrees, confidence = tilt(shrunk(g, 512)) if "tilt" in signals else (0.0, 0.0)
+    e = exposure_of(g) if "exposure" in signals else {"score": 0.0, "mean": 0.0}
+    focus = sharpness(shrunk(g, 1024), regions) if "focus" in signals else 0.0
+    limits = limits or {}
+    bad = [
+        "exposure" in signals and e["score"] < limits.get("exposure", 0.0), "focus" in signals and focus < limits.get("focus", 0.0),
+        "tilt" in signals and confidence >= 0.2 and abs(degrees) > limits.get("tilt", 180.0),
+    ]
+    return {
+        "exposure": e["score"], "mean": e["mean"], "sharpness": focus, "in_focus": focus >= IN_FOCUS, "tilt": degrees, "tilt_confidence": confidence,
+        "dhash": dhash(image), "histogram": rgb_histogram(image), "good": not any(bad),
+    }
+
+
+def score_images(images: DataFrame, image: str = "image", out: str = "report", signals: tuple[str, ...] = SIGNALS, regions: str | None = None, limits: dict[str, float] | None = None) -> DataFrame:
+    """Adds ``out`` to rows of Spark's image source (BGR or BGRA bytes); null where an image can't be measured, whatever is wrong with it.
+
+    ``regions`` names a column ``array<struct<cx,cy,w,h>>`` of display boxes in focus.
+    """
+    parts = [F.col(f"{image}.{k}") for k in ("height", "width", "nChannels", "data")]
+    boxes = F.col(regions) if regions else F.array().cast("array<struct<cx:double,cy:double,w:double,h:double>>")
 
     @F.pandas_udf(REPORT)
     def scored(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for h, w, c, data in zip(rows["height"], rows["width"], rows["nChannels"], rows["data"], strict=True):
+        for h, w, c, data, where in zip(rows["height"], rows["width"], rows["nChannels"], rows["data"], rows["boxes"], strict=True):
             try:
                 pixels = np.frombuffer(data, np.uint8).reshape(h, w, c)
-                found.append(report(np.repeat(pixels, 3, axis=2) if c == 1 else pixels[..., 2::-1]))
-            except (ValueError, TypeError, ZeroDivisionError):
-                found.append(dict.fromkeys(("exposure", "mean", "sharpness", "tilt", "tilt_confidence", "dhash", "histogram")))
-        return pd.DataFrame(found)
-
-    return images.withColumn(out, scored(F.struct(*(F.col(f"{image}.{k}") for k in ("height", "width", "nChannels", "data")))))
+                where = [(b["cx"], b["cy"], b["w"], b["h"]) for b in where] if where is not None else None
+                found.append(report(np.repeat(pixels, 3, axis=2) if c == 1 else pixels[..., 2::-1], signals, where, limits))
+            except Exception:  # noqa: BLE001 - one broken image costs one row
+                found.append({})
+        names = [f.split(":")[0] for f in REPORT[7:-1].split(",")]
+        return pd.DataFrame([[r.get(n) for n in names] for r in found], columns=names, dtype=object)
+
+    return images.withColumn(out, scored(F.struct(*parts, boxes.alias("boxes")))).withColumn(out, F.when(F.col(f"{out}.sharpness").isNotNull(), F.col(out)))

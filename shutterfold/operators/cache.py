@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranking import numbered
 
@@ -59,13 +60,13 @@ def cache_key(version: int, path: Column, size: Column, mtime: Column, edge: Col
 BINS = 64
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def packed_histogram(bins: pa.Array) -> pa.Array:
     """3 x 64 counts (red, green, blue) as little-endian 32-bit numbers; null for another number of counts."""
     return pa.array([np.array(x, "<u4").tobytes() if x is not None and len(x) == 3 * BINS else None for x in bins.to_pylist()], pa.binary())
 
 
-@F.arrow_udf("array<bigint>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def unpacked_histogram(data: pa.Array) -> pa.Array:
     """The counts of ``packed_histogram``; null for another length."""
     return pa.array([np.frombuffer(x, "<u4").tolist() if x is not None and len(x) == 12 * BINS else None for x in data.to_pylist()], pa.list_(pa.int64()))

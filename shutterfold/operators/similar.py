@@ -14,13 +14,14 @@ from itertools import combinations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
 
 SPARE = 3
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def text_hash(texts: pa.Array) -> pa.Array:
     """64 bits of a text: 65 characters at even steps, a bit set where one is below the next, lowest bit first."""
     found = []

@@ -6,34 +6,18 @@ items are not decoded.  Boxes that point outside the file are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tiff import boxes
+
 ITEM = "struct<id:bigint,kind:string,role:string,offset:bigint,length:bigint,width:int,height:int>"
 INDEX = f"struct<primary:bigint,orientation:int,edge:int,items:array<{ITEM}>>"
-DEEPEST = 16
-CONTAINERS = {b"iprp": 0, b"ipco": 0, b"meta": 4}
 # Screen coordinates (x right, y down): where a point of the stored image is shown, by EXIF orientation.
 TURNS = {1: (1, 0, 0, 1), 2: (-1, 0, 0, 1), 3: (-1, 0, 0, -1), 4: (1, 0, 0, -1), 5: (0, 1, 1, 0), 6: (0, -1, 1, 0), 7: (0, -1, -1, 0), 8: (0, 1, -1, 0)}
 
 
-def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(type, content start, content end) of the boxes in a range; stops at one that doesn't fit."""
-    while start + 8 <= end:
-        size, kind, head = int.from_bytes(data[start : start + 4], "big"), data[start + 4 : start + 8], 8
-        if size == 1:
-            size, head = int.from_bytes(data[start + 8 : start + 16], "big"), 16
-        elif size == 0:
-            size = end - start
-        if size < head or start + size > end:
-            return
-        yield kind, start + head, start + size
-        start += size
-
-
 def composed(steps: list[tuple[str, int]]) -> int:
     """EXIF orientation of turns (``("turn", quarter turns against the clock)``) and mirrors (``("mirror", 0 top-bottom | 1 left-right)``) in order."""
     a, b, c, d = TURNS[1]

@@ -78,7 +78,9 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list]]]:
 
 def _text(tags: dict[int, list], tag: int) -> str | None:
     value = tags.get(tag, [b""])[0]
-    return (value.split(b"\0")[0].decode("utf-8", "replace").strip() or None) if isinstance(value, bytes) else str(value)
+    if not isinstance(value, bytes):
+        return str(value)
+    return next((text for part in value.split(b"\0") if (text := part.decode("utf-8", "replace").strip())), None)
 
 
 def _ratio(value) -> float | None:
@@ -149,13 +151,10 @@ def boxes(data: bytes, start: int = 0, stop: int | None = None) -> Iterator[tupl
         start = end
 
 
-def tiff_blocks(data: bytes) -> list[bytes]:
-    """The TIFF blocks of a file: itself, the CMT boxes of a movie-style raw, a HEIF or JPEG EXIF part, else the first one in an embedded JPEG."""
+def tiff_blocks(data: bytes) -> Iterator[list[bytes]]:
+    """Where the metadata of a file may stand, best first: the file itself, the CMT boxes of a movie-style raw, then every EXIF part with a readable header in its first 2 MB."""
     if header(data):
-        return [data]
-    if data[:2] == b"\xff\xd8":
-        at = data.find(b"Exif\0\0", 0, 1 << 17)
-        return [data[at + 6 :]] if at >= 0 else []
+        yield [data]
     if data[4:8] == b"ftyp":
         found = []
         for kind, a, b in boxes(data):
@@ -164,9 +163,23 @@ def tiff_blocks(data: bytes) -> list[bytes]:
                     if inner == b"uuid":
                         found += [data[e:f] for k, e, f in boxes(data, c + 16, d) if k in (b"CMT1", b"CMT2", b"CMT4")]
         if found:
-            return found
+            yield found
     at = data.find(b"Exif\0\0", 0, 2 << 20)
-    return [data[at + 6 :]] if at >= 0 else []
+    while at >= 0:
+        if header(data[at + 6 : at + 14]):
+            yield [data[at + 6 :]]
+        at = data.find(b"Exif\0\0", at + 6, 2 << 20)
+
+
+def first_fields(data: bytes) -> dict | None:
+    """The fields of the first place that has any."""
+    for blocks in tiff_blocks(data):
+        try:
+            if found := fields(blocks[0], blocks[1:]):
+                return found
+        except (struct.error, ValueError, IndexError, TypeError):
+            continue
+    return None
 
 
 def read_info(files: DataFrame, content: str = "content", out: str = "info") -> DataFrame:
@@ -177,8 +190,7 @@ def read_info(files: DataFrame, content: str = "content", out: str = "info") ->
         rows = []
         for data in column:
             try:
-                blocks = tiff_blocks(bytes(data)) if data is not None else []
-                rows.append((fields(blocks[0], blocks[1:]) if blocks else None) or {})
+                rows.append((first_fields(bytes(data)) if data is not None else None) or {})
             except (struct.error, ValueError, IndexError, TypeError):
                 rows.append({})
         names = [x.split(":")[0] for x in INFO[7:-1].split(",")]

@@ -24,10 +24,10 @@ def values(spark, rows, make, kind="string"):
 @pytest.mark.parametrize(
     "paths,count",
     [
-        (["jpg/A.JPG", "raw/A.NEF"], 1), (["RAW/P.NEF", "JPG/P.JPG", "HEIC/P.HEIC"], 1), (["RAW/I.CR3", "out/I.JPG", "out/I.HEIC"], 1),
-        (["day1/RAW/I.CR2", "day1/JPG/I.JPG", "day2/RAW/I.CR2", "day2/JPG/I.JPG"], 4), (["jpg/D.JPG", "edit/D.jpg", "raw/D.NEF"], 3), (["a/X.JPG", "b/X.jpeg", "raw/X.NEF"], 3),
-        (["A/I.NEF", "A/I.JPG", "B/I.JPG"], 2), (["raw1/D.NEF", "raw2/D.NEF", "jpg/D.JPG"], 3), (["RAW/d9.nef", "JPG/D9.JPG"], 1), (["P.RW2", "sub/P.RW2"], 2),
-        (["raw/A.NEF", "raw/B.NEF", "jpg/A.JPG", "jpg/B.JPG", "edit/B.JPG"], 4),
+        (["web/heron.jpg", "orig/heron.orf"], 1), (["orig/moth.arw", "web/moth.jpeg", "phone/moth.heic"], 1), (["orig/reed.raf", "web/reed.png", "web/reed.tif"], 1),
+        (["mon/orig/gate.dng", "mon/web/gate.jpg", "tue/orig/gate.dng", "tue/web/gate.jpg"], 4), (["web/kite.jpg", "print/kite.jpg", "orig/kite.pef"], 3), (["one/dune.jpg", "two/dune.jpeg", "orig/dune.orf"], 3),
+        (["both/pier.orf", "both/pier.jpg", "web/pier.jpg"], 2), (["card1/fern.arw", "card2/fern.arw", "web/fern.jpg"], 3), (["orig/q7.Arw", "web/Q7.jpg"], 1), (["lark.srw", "deep/lark.srw"], 2),
+        (["orig/oak.dng", "orig/elm.dng", "web/oak.jpg", "web/elm.jpg", "print/elm.jpg"], 4), (["web/_ice..jpg", "orig/_ice..raf"], 1),
     ],
 )
 def test_pairing_rules(spark, paths, count):
@@ -43,13 +43,13 @@ def test_system_folders_are_left_out(spark):
 
 
 def test_natural_order(spark):
-    want = ["a1", "a01", "a2", "a9", "a10", "a10b", "A11", "b", "IMG_2", "img_10", "P1063603", "P1063700"]
+    want = ["dock3", "dock03", "dock4", "dock20", "dock20x", "DOCK31", "e", "roll-7", "Roll-64", "s900017", "S900210"]
     df = spark.createDataFrame([(x,) for x in reversed(want)], "x string").orderBy(names.natural_key(F.col("x")))
     assert [r.x for r in df.collect()] == want
 
 
 def test_capture_order(spark):
-    rows = [(300, "IMG_10"), (None, "B_2"), (100, "IMG_2"), (200, "IMG_9"), (200, "IMG_1"), (None, "A_10")]
+    rows = [(77, "roll12"), (None, "wharf3"), (12, "roll4"), (40, "roll8"), (40, "roll2"), (None, "quay11")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t int, name string")
     got = ranking.numbered(df, [F.col("t").isNull(), F.col("t"), names.natural_key(F.col("name"))], "p").orderBy("p").collect()
     assert [r.i for r in got] == [2, 4, 3, 0, 5, 1]
@@ -62,7 +62,7 @@ def test_capture_text(spark):
     assert values(spark, ["1/250", "1/250 s", "0.5 s", "1/0", "x"], exif.shutter) == pytest.approx([np.float32(0.004), np.float32(0.004), 0.5, None, None])
     t = values(spark, ["2024:01:01 23:59:59", "2024-01-02 00:00:00", "2024:02:31 00:00", "2024:13:01 00:00:00", "x"], exif.epoch_seconds)
     assert t[1] - t[0] == 1 and t[2] is not None and t[3:] == [None, None] and t[0] == 1704153599
-    assert values(spark, ["35 mm", " 16 mm ", "200mm", "10.5 mm", "34.9 mm", "", "x", "0 mm", "."], names.focal_folder) == ["35mm", "16mm", "200mm", "11mm", "35mm"] + ["unknown"] * 4
+    assert values(spark, ["35 mm", " 16 mm ", "200mm", "10.5 mm", "34.9 mm", "", "x", "0 mm", "."], names.focal_folder) == ["35mm", "16mm", "200mm", "11mm", "35mm"] + ["unknown-focal"] * 4
 
 
 def test_small_text_functions(spark):
@@ -166,7 +166,7 @@ def test_pixel_measures(spark):
     assert pixels.oriented(np.arange(6).reshape(2, 3, 1), 6).shape == (3, 2, 1) and pixels.shrunk(flat, 16).shape == (16, 16, 3)
     rows = spark.createDataFrame([((64, 64, 3, bytearray(checker[..., ::-1].tobytes())),), ((9, 9, 3, bytearray(b"x")),)], "image struct<height:int,width:int,nChannels:int,data:binary>")
     got = pixels.score_images(rows).collect()
-    assert got[0].report.sharpness > 0.9 and got[1].report.sharpness is None
+    assert got[0].report.sharpness > 0.9 and got[1].report is None
 
 
 def tiff_bytes(entries, order="<", more=b""):
