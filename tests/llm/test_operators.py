@@ -111,6 +111,35 @@ def test_quality_held_out_accuracy(spark):
     assert np.mean([s >= quality.CUT for s in good]) > 0.95 and np.mean([s < quality.CUT for s in bad]) > 0.9
 
 
+def test_quality_fit_minimises_the_pairwise_loss():
+    """The slope of the plain loss over all pairs, one by one, is zero at the fitted weights."""
+    rng = np.random.default_rng(1)
+    rows = np.hstack([rng.normal(size=(60, 3)), np.zeros((60, quality.N_FEATURES - 3))])
+    label = (rows[:, 0] - rows[:, 1] + rng.normal(size=60) > 0).astype(int)
+    model = quality.fit_rows(rows, label, pairs=400, seed=5)
+    good, bad, spread = rows[label == 1], rows[label == 0], np.maximum(rows.std(axis=0), 1e-3)
+    pick = np.random.default_rng(5)
+    i, j = pick.integers(len(good), size=400), pick.integers(len(bad), size=400)
+    w = model.weights * spread
+    slope = 1e-3 * w
+    for a, b in zip(i, j):
+        x = (good[a] - bad[b]) / spread
+        slope = slope - x / (1 + np.exp(x @ w)) / 400
+    assert np.abs(slope).max() < 1e-6 and w[0] > 0.3 and w[1] < -0.3 and np.abs(w[3:]).max() < 1e-9
+    raw = np.concatenate([good, bad]) - model.centre
+    right = np.array([model.score(rows) >= quality.CUT]).ravel() == (label == 1)
+    assert right.mean() > 0.75 and len(raw) == 60
+
+
+def test_quality_threshold_where_most_are_bad():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(400, quality.N_FEATURES)) * 0.1
+    label = (np.arange(400) < 40).astype(int)
+    rows[:40, 0] += 3
+    model = quality.fit_rows(rows, label)
+    assert ((model.score(rows) >= quality.CUT) == (label == 1)).all()
+
+
 def test_quality_edge_rows(spark):
     model = quality.fit_rows(np.random.default_rng(0).random((40, quality.N_FEATURES)), np.arange(40) % 2)
     rows = quality.score(docs(spark, ODD, extra=True), model).orderBy("doc_id").collect()
@@ -147,7 +176,7 @@ def unigram_library(tmp_path):
 
 def test_viterbi_counts_equal_the_library(spark, tmp_path):
     library = unigram_library(tmp_path)
-    texts = [t[:800] for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ["", "  a  b", "漢字é\n\n\tx 😀", "▁▁a", "<0x0A> <unk>"]
+    texts = [t for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ["", "  a  b", "漢字é\n\n\tx 😀", "▁▁a", "<0x0A> <unk>"]
     got = viterbi.count_tokens(docs(spark, texts, extra=True), public_tokenizers.path("piece_bpe_32k.model")).orderBy("doc_id").collect()
     assert [r.counted.n_tokens for r in got] == [len(library.encode(t)) for t in texts]
 
@@ -155,6 +184,8 @@ def test_viterbi_counts_equal_the_library(spark, tmp_path):
 def test_viterbi_ties_and_brute_force():
     pieces = {"▁a": -2.0, "b": -1.0, "▁ab": -3.0, "▁": -1.0, "a": -1.0, "aa": -2.0, "ba": -2.0}
     one = viterbi.Counter(pieces)
+    across = viterbi.Counter(pieces | {"b▁a": -0.5})  # a piece that crosses words: the whole text is one segment
+    assert across.count("b a") == complex(2, -1.5)
     assert one.count("ab") == complex(1, -3.0)  # one piece ties with two: the longest last piece stays
 
     def brute(s):
@@ -219,6 +250,23 @@ def test_mpeg_columns(spark):
     assert rows[8].media == rows[9].media and rows[0].media == rows[1].media
 
 
+def test_mpeg_query_digests_of_whole_texts(spark, tmp_path):
+    from shutterfold.llm import mpeg_query
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()} | {9000 + i: t for i, t in enumerate(ODD)}
+    spark.createDataFrame(list(texts.items()), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = mpeg_query.op6_mpeg_audio(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        media = mpeg.store(raw)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false").withColumn("info", F.lit(1))
+    assert mpeg.probe_column(mpeg.store_column(empty)).count() == 0
+
+
 # --- op7 -------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
