@@ -54,6 +54,20 @@ def ifd(data: bytes, order: str, at: int) -> tuple[dict[int, list], int]:
     return found, struct.unpack_from(order + "I", data, after)[0] if after + 4 <= len(data) else 0
 
 
+def place(data: bytes, order: str, at: int, tag: int) -> int | None:
+    """Where the value of a tag of one directory starts."""
+    if at < 8 or at + 2 > len(data):
+        return None
+    for i in range(min(struct.unpack_from(order + "H", data, at)[0], MOST_ENTRIES)):
+        e = at + 2 + 12 * i
+        if e + 12 > len(data):
+            return None
+        found, kind, n = struct.unpack_from(order + "HHI", data, e)
+        if found == tag:
+            return e + 8 if SIZES.get(kind, 0) * n <= 4 else struct.unpack_from(order + "I", data, e + 8)[0]
+    return None
+
+
 def header(data: bytes) -> tuple[str, int] | None:
     """(byte order, first IFD); any version number passes, as some makers write their own."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
