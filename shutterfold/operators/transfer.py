@@ -63,13 +63,45 @@ def _suffixed(name: str, n: int) -> str:
     return f"{stem}_{n:03d}{ext}" if n else name
 
 
+def _parts(name: Column) -> tuple[Column, Column]:
+    """Stem and extension with its dot; leading dots belong to the stem."""
+    ext = F.regexp_extract(name, r"(?s)[^.].*?(\.[^.]*)$", 1)
+    return F.substring(name, F.lit(1), F.length(name) - F.length(ext)), ext
+
+
 def _family(folder: Column, low: Column) -> Column:
     """What all suffixed forms of a folded name share."""
-    ext = F.regexp_extract(low, r"(?s)[^.].*?(\.[^.]*)$", 1)
-    stem = F.substring(low, F.lit(1), F.length(low) - F.length(ext))
+    stem, ext = _parts(low)
     return F.concat_ws("/", folder, F.concat(F.regexp_replace(stem, "(_[0-9]{3,})+$", ""), ext))
 
 
+def _counted_names(planned: DataFrame, taken: DataFrame, skip: bool) -> DataFrame:
+    """``final_name`` where all plans of a family want one name: the k-th copy takes the k-th number that is free.
+
+    The j-th smallest taken number has ``number - (j - 1)`` free ones before
+    it, so the k-th free number is k plus the taken ones with k of those or
+    fewer.  All of it is ranking and running counts over the whole table, so a
+    name of any number of copies is no single task.
+    """
+    stem, ext = _parts(F.col("__low"))
+    wanted = planned.select("__tied", F.col("__low").alias("__wanted"), stem.alias("__stem"), ext.alias("__ext")).distinct()
+    inside = F.col("__low").startswith(F.col("__stem")) & F.col("__low").endswith(F.col("__ext"))
+    middle = F.substring(F.col("__low"), F.length("__stem") + 1, F.length("__low") - F.length("__stem") - F.length("__ext"))
+    number = F.when(F.col("__low") == F.col("__wanted"), 0).when(inside & middle.rlike("^_([0-9]{3}|[1-9][0-9]{3,})$"), F.substring(middle, 2, 20).try_cast("long"))
+    numbers = taken.join(wanted, "__tied").select("__tied", number.alias("__number")).where("__number is not null").distinct()
+    before = numbered_within(numbers, ["__tied"], [F.col("__number")], "__j").select("__tied", (F.col("__number") - F.col("__j") + 1).alias("__at"), F.lit(1).alias("__taken"))
+    copies = numbered_within(planned, ["__tied"], [F.col("pos"), F.col("item_id"), F.col("__k")], "__copy").withColumn("__at", F.col("__copy") - 1)
+    both = copies.withColumn("__taken", F.lit(0)).unionByName(before, allowMissingColumns=True)
+    order = [F.col("__tied"), F.col("__at"), F.col("__taken").desc(), F.col("__copy")]
+    placed = numbered(both, order, "__row", "__taken", "__upto")
+    start = placed.groupBy("__tied").agg(F.min(F.col("__upto") - F.col("__taken")).alias("__start"))
+    n = F.col("__at") + F.col("__upto") - F.col("__start")
+    stem, ext = _parts(F.col("name"))
+    suffix = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
+    final = F.when(n == 0, F.col("name")).otherwise(F.lit(None).cast("string") if skip else F.concat(stem, F.lit("_"), suffix, ext))
+    return placed.where("__taken = 0").join(start, "__tied").withColumn("final_name", final).select(*planned.columns, "final_name")
+
+
 def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = False) -> DataFrame:
     """Adds ``final_name``: conflict-free names in every target folder.
 
@@ -79,8 +111,9 @@ def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = Fal
     together when any of its names is taken; ``skip`` gives null instead.
     Names meet only within a family (one folder, stem without number suffixes
     and extension), families only through a group that has files in several.
-    Families tied together and holding a name that is wanted twice or taken go
-    to a task of their own; all other files keep their names by plain joins.
+    Where a family holds a name that is wanted twice or taken, its copies are
+    counted when all want one name; families tied together, or with several
+    wanted names, go to a task of their own.  All other files keep their names.
     """
     planned = planned.withColumns({"__low": F.lower("name"), "__family": _family(F.col("folder"), F.lower("name"))})
     planned = planned.withColumn("__k", F.row_number().over(Window.partitionBy("folder", "item_id", "__low").orderBy("pos")) - 1)
@@ -95,7 +128,10 @@ def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = Fal
         planned, taken = (df.join(tied, "__family", "left").withColumn("__tied", F.coalesce("__tied", "__family")) for df in (planned, taken))
     contested = planned.join(taken.select("folder", "__low").unionByName(rivals).distinct(), ["folder", "__low"], "left_semi").select("__tied").distinct()
     free = planned.join(contested, "__tied", "left_anti").withColumn("final_name", F.col("name"))
-    hard = planned.join(contested, "__tied", "left_semi")
+    disputed = planned.join(contested, "__tied", "left_semi")
+    single = disputed.groupBy("__tied").agg(F.min("__low").alias("lo"), F.max("__low").alias("hi")).where("lo = hi").select("__tied")
+    counted = _counted_names(disputed.join(single, "__tied", "left_semi"), taken.join(single, "__tied", "left_semi"), skip)
+    hard = disputed.join(single, "__tied", "left_anti")
     schema = hard.withColumn("final_name", F.lit(None).cast("string")).schema
 
     def resolve(plans: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
@@ -121,7 +157,7 @@ def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = Fal
         return plans.assign(final_name=pd.Series(out, dtype=object).reindex(plans.index))
 
     solved = hard.groupBy("__tied").cogroup(taken.groupBy("__tied")).applyInPandas(resolve, schema)
-    return free.unionByName(solved).drop("__k", "__low", "__family", "__tied")
+    return free.unionByName(counted).unionByName(solved).drop("__k", "__low", "__family", "__tied")
 
 
 def folder_counts(files: DataFrame, folder: Column) -> DataFrame:
