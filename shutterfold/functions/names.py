@@ -199,7 +199,7 @@ def hex_colour(text: Column) -> Column:
 
 
 def colour_text(r: Column, g: Column, b: Column) -> Column:
-    return F.format_string("#%02X%02X%02X", r, g, b)
+    return F.when(r.isNotNull() & g.isNotNull() & b.isNotNull(), F.format_string("#%02X%02X%02X", r, g, b))
 
 
 def compose_hangul(text: Column) -> Column:
