@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -214,6 +218,12 @@ def compose_hangul(text: Column) -> Column:
     return composed(text)
 
 
+@F.arrow_udf(T.StringType())
+def composed(texts: pa.Array) -> pa.Array:
+    """Texts with all characters in their composed form (NFC), in which two spellings of a path are equal."""
+    return pa.array([unicodedata.normalize("NFC", x) if x is not None else None for x in texts.to_pylist()], pa.string())
+
+
 def caption(model: Column, lens: Column, aperture: Column, shutter: Column, iso: Column, focal: Column, date: Column) -> Column:
     """Caption lines: camera; lens; exposure values; date with dots. Missing parts drop out."""
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import pixels as P
-from ..operators import cache, culling, pairing, ranking, selection, transfer
-from .collection_queries import ITEMS, _classified, _t
+from ..operators import cache, culling, labels, pairing, ranking, selection, transfer
+from .collection_queries import ITEMS, TRANSFER, _classified, _t, _transfer_items
 
 
 def supported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,11 +149,56 @@ def modified_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODIFIED_ORDER = "SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS place FROM orders"
 
 
+def job_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items, files and outcomes of a job over all orders with line items."""
+    o = _transfer_items(spark, sf_dir)
+    outcome = F.when(F.col("label") == "pick", "good").when(F.col("label") == "hold", "bad").otherwise("skipped")
+    return o.agg(F.count("*").alias("items"), F.sum(F.size("members")).alias("files"), *(F.count_if(outcome == k).alias(k) for k in ("good", "bad", "skipped")))
+
+
+JOB_TOTALS = f"""WITH {TRANSFER}, m AS (SELECT item_id, any_value(label) AS label, count(*) AS n FROM items JOIN files ON item_id = l_orderkey GROUP BY item_id)
+SELECT count(*) AS items, CAST(sum(n) AS BIGINT) AS files, count(*) FILTER (label = 'pick') AS good, count(*) FILTER (label = 'hold') AS bad, count(*) FILTER (label NOT IN ('pick', 'hold')) AS skipped FROM m"""
+
+
+def rename_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty pairs of old and new names that a preview shows, over the whole scope."""
+    planned = transfer.plan(_transfer_items(spark, sf_dir), transfer.selected(split=True), "raw")
+    return transfer.renamed(planned, "{seq:04}-{orig}").orderBy("seq", "slot").limit(20).select("path", "new_name")
+
+
+RENAME_FIRST = f"""WITH {TRANSFER}, raw AS (SELECT item_id, path, row_number() OVER (PARTITION BY item_id ORDER BY path) AS slot FROM items JOIN files ON item_id = l_orderkey WHERE path LIKE '%.NEF'),
+n AS (SELECT *, dense_rank() OVER (ORDER BY item_id) AS seq FROM raw)
+SELECT path, lpad(CAST(seq AS VARCHAR), 4, '0') || '-' || regexp_extract(path, '([^/]*)$', 1) AS new_name FROM n ORDER BY seq, slot LIMIT 20"""
+
+
+def shown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of all orders in one language, with the user's own name for one of them."""
+    names = spark.createDataFrame([("en", "pick", "Keep"), ("en", "hold", "Later"), ("de", "pick", "Behalten"), ("de", "unrated", "Offen")], "lang string, value string, name string")
+    custom = spark.createDataFrame([("hold", "Second look"), ("pick", " ")], "value string, own string")
+    return labels.named(_classified(spark, sf_dir), names, "de", custom=custom).groupBy("label", "name").agg(F.count("*").alias("n"))
+
+
+SHOWN_NAMES = f"WITH {ITEMS} SELECT label, CASE label WHEN 'pick' THEN 'Behalten' WHEN 'hold' THEN 'Second look' WHEN 'unrated' THEN 'Offen' ELSE label END AS name, count(*) AS n FROM items GROUP BY label"
+
+
+def real_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all parts, listed with decomposed letters, found by composed names."""
+    p = _t(spark, sf_dir, "part")
+    tail = F.concat(F.col("p_partkey"), F.lit(".jpg"))
+    there = p.where("p_size > 10").select(F.concat(F.when(F.col("p_size") > 30, "/a/Cafe\u0301-").otherwise("/a/Caf\u00e9-"), tail).alias("path"))
+    wanted = p.select("p_partkey", F.concat(F.lit("/a/Caf\u00e9-"), tail).alias("path"))
+    return labels.real_paths(wanted, there).select("p_partkey", "real")
+
+
+REAL_PATHS = """WITH there AS (SELECT '/a/Caf' || CASE WHEN p_size > 30 THEN 'e' || chr(769) ELSE chr(233) END || '-' || p_partkey || '.jpg' AS path FROM part WHERE p_size > 10)
+SELECT p_partkey, min(path) AS real FROM part LEFT JOIN there ON nfc_normalize(path) = nfc_normalize('/a/Caf' || chr(233) || '-' || p_partkey || '.jpg') GROUP BY p_partkey"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (supported_names, text_forms, path_parts, metadata_filter, transfer_report, decided_labels, cluster_best, label_undo, cache_state, modified_order)
+    for f in (supported_names, text_forms, path_parts, metadata_filter, transfer_report, decided_labels, cluster_best, label_undo, cache_state, modified_order, job_totals, rename_first, shown_names, real_paths)
 }
 ORACLES = {
     "supported_names": SUPPORTED_NAMES, "text_forms": TEXT_FORMS, "path_parts": PATH_PARTS, "metadata_filter": METADATA_FILTER, "transfer_report": TRANSFER_REPORT, "decided_labels": DECIDED_LABELS, "cluster_best": CLUSTER_BEST,
-    "label_undo": LABEL_UNDO, "cache_state": CACHE_STATE, "modified_order": MODIFIED_ORDER,
+    "label_undo": LABEL_UNDO, "cache_state": CACHE_STATE, "modified_order": MODIFIED_ORDER, "job_totals": JOB_TOTALS, "rename_first": RENAME_FIRST, "shown_names": SHOWN_NAMES, "real_paths": REAL_PATHS,
 }
