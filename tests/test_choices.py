@@ -252,3 +252,35 @@ def test_organised_files_resolve_and_move(spark, tmp_path):
     solved = transfer.resolve_collisions(planned, spark.createDataFrame([], "folder string, name string"))
     assert {r.status for r in transfer.execute(solved, move=True).collect()} == {"sent"}
     assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.*") if p.is_file()) == ["Kin 7/_A_001.orf", "Kin 7/_a.orf", "unknown-camera/b..jpg"]
+
+
+def jpeg_of(spark, shade, w=24, h=16):
+    """A JPEG of one shade, by the Java runtime that Spark runs on."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(w, h, 1)
+    for x in range(w):
+        for y in range(h):
+            image.setRGB(x, y, shade << 16 | shade << 8 | shade)
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def test_every_kind_of_file_comes_to_pixels(spark, tmp_path):
+    small, large = jpeg_of(spark, 40), jpeg_of(spark, 200, 80, 40)
+    turned = b"\xff\xd8\xff\xe1" + struct.pack(">H", 8 + len(block := tiff_bytes([(tiff.ORIENTATION, 3, 1, struct.pack("<H", 6))]))) + b"Exif\0\0" + block + small[2:]
+    rows = [("/p/a.jpg", turned), ("/p/b.nef", b"raw" * 5 + small + b"gap" + large + b"end"), ("/p/c.heic", heif_bytes(3, 1)), ("/p/d.arw", b"nothing"), ("/p/e.jpg", b"broken")]
+    (tmp_path / "out").mkdir()
+    df = spark.createDataFrame([(p, bytearray(b)) for p, b in rows], "path string, content binary")
+    got = {r.path[-5:-4] if r.path.endswith("heic") else r.path[3]: r for r in files_decoded(df, str(tmp_path / "out"))}
+    assert (got["a"].image.width, got["a"].orientation, got["a"].bytes_from) == (24, 6, "file") and abs(got["a"].image.data[0] - 40) < 4
+    assert (got["b"].image.width, got["b"].bytes_from, got["b"].original_edge) == (80, "preview", 80)
+    by_path = {r.path: r for r in got.values()}
+    assert by_path["/p/c.heic"].image is None and by_path["/p/c.heic"].original_edge == 4000 and by_path["/p/c.heic"].orientation == heif.composed([("turn", 3), ("mirror", 1)])
+    assert by_path["/p/d.arw"].bytes_from is None and by_path["/p/d.arw"].image is None and by_path["/p/e.jpg"].image is None
+
+
+def files_decoded(df, folder):
+    from shutterfold.sources import decode
+
+    return decode.decoded(df, folder, 50).collect()
