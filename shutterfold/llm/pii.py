@@ -69,13 +69,15 @@ _DOT = r"\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|DOT|Do
 # Words after which a bare "at" names a place, and those that follow it then.
 _BEFORE = ("me us him her it them you look looks looked see is are was were be here there now live meet shop order page site online available found more info hosted".split())
 _AFTER = "the|a|an|this|that|my|your|his|her|its|our|their"
-_BARE_AT = rf"(?<=[\w]){''.join(rf'(?<!\b{w})' for w in _BEFORE)}\s+at\s+(?!(?:{_AFTER})\s)"
+_BARE_AT = rf"(?<=[\w])(?=\s+at\s){''.join(rf'(?<!\b{w})' for w in _BEFORE)}\s+at\s+(?!(?:{_AFTER})\s)"
+# each rule looks at its first character before anything else, which is what most places of a text fail at
 _REWRITE = re.compile(
-    rf"(?P<at>{_AT}|{_BARE_AT}(?=[\w-]+(?:{_DOT})[\w-]|(?:[a-z0-9-]+\.)+[a-z]{{2,24}}\b(?!@)))|(?P<dot>(?<=[\w])(?:{_DOT})(?=[\w]))"
-    rf"|(?P<plus>\bplus\s+(?=[0-9]|(?:{_WORD})\b))|\b(?P<digit>{_WORD})\b|(?P<gap>[{INVISIBLE}])",
+    rf"(?=[\s\[({{<])(?:(?P<at>{_AT}|{_BARE_AT}(?=[\w-]+(?:{_DOT})[\w-]|(?:[a-z0-9-]+\.)+[a-z]{{2,24}}\b(?!@)))|(?P<dot>(?<=[\w])(?:{_DOT})(?=[\w])))"
+    rf"|(?P<plus>(?=p)\bplus\s+(?=[0-9]|(?:{_WORD})\b))|(?P<digit>(?=[zotfsen])\b(?:{_WORD})\b)|(?P<gap>[{INVISIBLE}])",
     re.IGNORECASE,
 )
 
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
