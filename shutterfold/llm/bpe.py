@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 1 << 18  # entries of each of three memos; with keys of at most 64 bytes they stay below 100 MB
+MEMO = 1 << 19  # entries of each memo; with keys of at most 64 bytes two full ones stay below 200 MB
 NEVER = 1 << 60
 
 
