@@ -25,21 +25,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 1 << 19  # entries of each memo; with keys of at most 64 bytes two full ones stay below 200 MB
+MEMO = 1 << 20  # entries of each memo, which hold keys of at most 64 bytes: two full ones take some 400 MB of a worker
 NEVER = 1 << 60
 
 
 class Memo(dict):
-    """Computes what is missing; emptied at ``MEMO`` entries; long keys aren't kept."""
+    """Computes what is missing; emptied at ``most`` entries; long keys aren't kept."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, most: int):
         super().__init__()
-        self.compute = compute
+        self.compute, self.most = compute, most
 
     def __missing__(self, key):
         value = self.compute(key)
         if len(key) <= 64:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
@@ -53,7 +53,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder over one rank table; memo sizes are bounded."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
+        self.memo = memo
         self.ranks = {k.decode("latin-1"): v for k, v in ranks.items()}
         self.by_id = {v: k for k, v in ranks.items()}
         self.split = regex.compile(pattern).findall
@@ -61,9 +62,9 @@ class Codec:
         for piece, rank in self.ranks.items():
             self.automaton.add_word(piece, (len(piece) - 1, piece))
         self.automaton.make_automaton()
-        self.shorter = Memo(self._next_shorter)
+        self.shorter = Memo(self._next_shorter, memo)
         self.apart: dict[tuple[str, str], bool] = {}
-        self.words = Memo(self.pretoken)
+        self.words = Memo(self.pretoken, memo)
 
     def _merge(self, text: str) -> list[str]:
         """Plain merging, lowest rank first and leftmost among equals; only for two tokens at a time."""
@@ -80,7 +81,7 @@ class Codec:
         return parts
 
     def _stay_apart(self, left: str, right: str) -> bool:
-        if len(self.apart) >= MEMO:
+        if len(self.apart) >= self.memo:
             self.apart.clear()
         found = self.apart[left, right] = self._merge(left + right) == [left, right]
         return found
@@ -132,17 +133,17 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, memo: int = MEMO) -> Codec:
     """One codec for each worker process."""
-    return Codec(read_ranks(path), pattern)
+    return Codec(read_ranks(path), pattern, memo)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", memo: int = MEMO) -> DataFrame:
     """Adds ``out array<int>``: ids of the whole text, each pretoken by itself, no special tokens."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        one = codec(path, pattern)
+        one = codec(path, pattern, memo)
         parts = [one.encode(x or "") for x in texts.to_pylist()]
         ends = np.zeros(len(parts) + 1, np.int32)
         np.cumsum([len(x) // 4 for x in parts], out=ends[1:])
@@ -151,12 +152,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     return df.withColumn(out, ids(F.col(text)))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded", memo: int = MEMO) -> DataFrame:
     """Adds ``out binary``: the bytes of the ids, which need not be valid UTF-8."""
 
     @F.arrow_udf("binary")
     def joined(lists: pa.Array) -> pa.Array:
-        one = codec(path, pattern)
+        one = codec(path, pattern, memo)
         ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
         present = lists.is_valid().to_numpy(zero_copy_only=False)
         return pa.array([one.decode(values[a:b]) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], present, strict=True)], pa.binary())
