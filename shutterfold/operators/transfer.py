@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from .components import connected_components
+from .lineage import stored
 from .ranking import numbered, numbered_within
 
 
@@ -128,7 +129,7 @@ def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = Fal
         planned, taken = (df.join(tied, "__family", "left").withColumn("__tied", F.coalesce("__tied", "__family")) for df in (planned, taken))
     contested = planned.join(taken.select("folder", "__low").unionByName(rivals).distinct(), ["folder", "__low"], "left_semi").select("__tied").distinct()
     free = planned.join(contested, "__tied", "left_anti").withColumn("final_name", F.col("name"))
-    disputed = planned.join(contested, "__tied", "left_semi")
+    disputed = stored(planned.join(contested, "__tied", "left_semi"))  # read for its families, its copies and what is left
     single = disputed.groupBy("__tied").agg(F.min("__low").alias("lo"), F.max("__low").alias("hi")).where("lo = hi").select("__tied")
     counted = _counted_names(disputed.join(single, "__tied", "left_semi"), taken.join(single, "__tied", "left_semi"), skip)
     hard = disputed.join(single, "__tied", "left_anti")
