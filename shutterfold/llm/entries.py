@@ -20,6 +20,9 @@ def load() -> None:
     from . import bpe_query, decontaminate_query, linededup_query, lmscore_query, mpeg_query, ngramjoin_query, pii_query, quality_query, urlfilter_query, viterbi_query
 
     _register(bpe_query, decontaminate_query, linededup_query, lmscore_query, mpeg_query, ngramjoin_query, pii_query, quality_query, urlfilter_query, viterbi_query)
+    from . import centroids_query, langid_query, whitening_query
+
+    _register(centroids_query, langid_query, whitening_query)
 
 
 load()
