@@ -14,9 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import numbered
+from .ranking import before, largest, numbered, numbered_within, placed
 
 TILT_CONFIDENCE = 0.2
+#: A group of more rows isn't a window, which is one task, but is cut into ranges; both ways give the same rows.
+GROUP_ROWS = 1_000_000
 
 
 def f32(x: float | Column) -> Column:
@@ -146,21 +148,46 @@ def burst_ids(df: DataFrame, part: list[str], order: list[Column], gap: float, t
     Rows in order belong together while neighbouring times differ by at most
     ``gap``; an unknown time is a burst of its own and breaks the chain.
     """
+    if largest(df, part) > GROUP_ROWS:
+        return _burst_ids_by_range(df, part, order, gap, time, out)
     by = Window.partitionBy(*part).orderBy(*order)
-    before, here = F.lag(time).over(by), F.col(time)
-    opens = F.when(before.isNull() | here.isNull() | (F.abs(here - before) > gap), 1).otherwise(0)
-    opened = df.withColumn("__opens", opens)
+    last, here = F.lag(time).over(by), F.col(time)
+    opened = df.withColumn("__opens", _opens(last, here, gap))
     return opened.withColumn(out, F.sum("__opens").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")).drop("__opens")
 
 
-def group_keys(group: Window, competes: Column) -> list[Column]:
+def _opens(last: Column, here: Column, gap: float) -> Column:
+    return F.when(last.isNull() | here.isNull() | (F.abs(here - last) > gap), 1).otherwise(0)
+
+
+def _burst_ids_by_range(df: DataFrame, part: list[str], order: list[Column], gap: float, time: str, out: str) -> DataFrame:
+    """The same without a task for each partition: ranges of the whole order, and two rows a range that tell how it continues the one before."""
+    group = F.struct(F.lit(0).alias("one"), *part)
+    rows = placed(df.withColumns({"__g": group, "__t": F.col(time)}), [*(F.col(c) for c in part), *order])
+    by = Window.partitionBy("__part").orderBy("__in_part")
+    ends = rows.groupBy("__part").agg(F.max_by(F.struct("__g", "__t"), "__in_part").alias("end"))
+    rows = rows.join(before(ends, __end=F.last("end")), "__part")
+    last = F.when(F.col("__in_part") == 0, F.col("__end")).otherwise(F.lag(F.struct("__g", "__t")).over(by))
+    rows = rows.withColumn("__last", last).withColumn("__first", ~F.coalesce(F.col("__last.__g") == F.col("__g"), F.lit(False)))
+    rows = rows.withColumn("__opens", F.when(F.col("__first"), 1).otherwise(_opens(F.col("__last.__t"), F.col("__t"), gap)))
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__upto", F.sum("__opens").over(upto))
+    rows = rows.withColumn("__base", F.last(F.when(F.col("__first"), F.col("__upto") - 1), ignorenulls=True).over(upto))
+    ranges = rows.groupBy("__part").agg(F.sum("__opens").alias("n"), F.max_by("__base", "__in_part").alias("base"))
+    ranges = ranges.withColumn("base", F.col("base") + F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(before(ranges, __n=F.sum("n"), __open=F.last("base", ignorenulls=True)), "__part")
+    n = F.coalesce("__n", F.lit(0))
+    number = F.col("__upto") + n - F.coalesce(F.col("__base") + n, F.col("__open"))
+    return rows.withColumn(out, number.cast("long")).select(*df.columns, out)
+
+
+def group_keys(rich: Column) -> list[Column]:
     """Three values, each best when largest, that order the competitors of a group.
 
-    A group where any competitor has an aesthetic or sharpness value orders by
-    finite aesthetic first, then sharpness (a missing one is 0); other groups
-    order by rank.
+    A ``rich`` group, where any competitor has an aesthetic or sharpness value,
+    orders by finite aesthetic first, then sharpness (a missing one is 0);
+    other groups order by rank.
     """
-    rich = F.max((competes & (F.col("aesthetic").isNotNull() | F.col("sharp").isNotNull())).cast("int")).over(group) == 1
     score = finite(F.col("aesthetic"))
     return [
         F.when(rich, score.isNotNull().cast("int")).otherwise(0),
@@ -173,14 +200,38 @@ def best_n(df: DataFrame, group: list[str], keep: int, competes: Column, prefix:
     """Adds ``<prefix>_rank``, ``<prefix>_size`` (null below two competitors) and ``<prefix>_out``: beaten by ``keep`` others."""
     keep = max(keep, 1)
     flagged = df.withColumn("__competes", F.coalesce(competes, F.lit(False)))
-    whole = Window.partitionBy(*group)
-    keys = {f"__k{i}": k for i, k in enumerate(group_keys(whole, F.col("__competes")))}
-    ranked = Window.partitionBy(*group, "__competes").orderBy(*(F.col(k).desc() for k in keys), F.col(tie))
-    size = F.sum(F.col("__competes").cast("int")).over(whole)
+    large = largest(df, group) > GROUP_ROWS
+    if large:
+        flagged = _with_group_totals(flagged, group)
+    else:
+        whole = Window.partitionBy(*group)
+        flagged = flagged.withColumns({"__rich": F.max(_rich()).over(whole) == 1, "__size": F.sum(F.col("__competes").cast("int")).over(whole)})
+    size = F.col("__size")
+    keys = {f"__k{i}": k for i, k in enumerate(group_keys(F.col("__rich")))}
     shown = F.col("__competes") & (size >= 2)
-    out = flagged.withColumns(keys).withColumns({f"{prefix}_rank": F.when(shown, F.row_number().over(ranked)), f"{prefix}_size": F.when(shown, size.cast("int"))})
+    out, by = flagged.withColumns(keys), [*(F.col(k).desc() for k in keys), F.col(tie)]
+    if large:
+        out = numbered_within(out, [*group, "__competes"], by, "__place")
+    else:
+        out = out.withColumn("__place", F.row_number().over(Window.partitionBy(*group, "__competes").orderBy(*by)))
+    out = out.withColumns({f"{prefix}_rank": F.when(shown, F.col("__place").cast("int")), f"{prefix}_size": F.when(shown, size.cast("int"))})
     out = out.withColumn(f"{prefix}_out", F.coalesce(F.col(f"{prefix}_rank") > keep, F.lit(False)))
-    return out.drop("__competes", *keys)
+    return out.drop("__competes", "__place", "__rich", "__size", *keys)
+
+
+def _rich() -> Column:
+    """1 for a competitor with an aesthetic or sharpness value."""
+    return (F.col("__competes") & (F.col("aesthetic").isNotNull() | F.col("sharp").isNotNull())).cast("int")
+
+
+def _with_group_totals(flagged: DataFrame, group: list[str]) -> DataFrame:
+    """Adds what a group's order needs by a join, which splits a hot group, instead of a window over it."""
+    found = flagged.groupBy(*group).agg((F.max(_rich()) == 1).alias("__rich"), F.sum(F.col("__competes").cast("int")).alias("__size"))
+    found = found.select(*(F.col(c).alias(f"__of_{c}") for c in group), "__rich", "__size")
+    same = F.lit(True)
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return flagged.join(found, same).drop(*(f"__of_{c}" for c in group))
 
 
 def decide(
@@ -205,32 +256,38 @@ def decide(
     return out
 
 
-def explain(df: DataFrame, burst_keep: int = 1, dedup_keep: int = 1, top_n: int = 0) -> DataFrame:
+def explain(df: DataFrame, burst_keep: int = 1, dedup_keep: int = 1, top_n: int = 0, hard: list[tuple[str, Column, float | None, Column, Column]] | None = None) -> DataFrame:
     """Adds ``outcome`` and ``primary``/``secondary`` arrays of facts (kind, value, limit, rank, size, keep).
 
-    What made an item Bad is primary; everything else known about it is
-    secondary, and the facts of a Good item all are.  In top-N mode the score
-    rank decides and failed checks are secondary.
+    Facts come in the order of the decisions: score rank, checks, burst,
+    cluster, hard filters (``hard``: kind, value, limit, whether it is told,
+    whether it rejects).  What made an item Bad is primary; everything else
+    known about it is secondary, and the facts of a Good item all are.  In
+    top-N mode the score rank decides and checks are secondary.  An excluded
+    item has no facts.
     """
 
-    def fact(kind: Column, value=None, limit=None, rank=None, size=None, keep=None) -> Column:
-        null = lambda x, t: (F.lit(None) if x is None else x).cast(t)
-        return F.struct(kind.alias("kind"), null(value, "float").alias("value"), null(limit, "float").alias("limit"), null(rank, "int").alias("rank"), null(size, "int").alias("size"), null(keep, "int").alias("keep"))
-
-    def where(failed: bool) -> Column:
-        return F.transform(F.filter("checks", lambda x: x["fail"] == failed), lambda x: fact(x["kind"], x["value"], x["limit"]))
+    def fact(told: Column, weighs: Column, kind, value=None, limit=None, rank=None, size=None, keep=None) -> Column:
+        null = lambda x, t: (F.lit(None) if x is None else x if isinstance(x, Column) else F.lit(x)).cast(t)
+        body = F.struct(
+            null(kind, "string").alias("kind"), null(value, "float").alias("value"), null(limit, "float").alias("limit"),
+            null(rank, "int").alias("rank"), null(size, "int").alias("size"), null(keep, "int").alias("keep"),
+        )
+        return F.when(told, F.struct(F.coalesce(weighs, F.lit(False)).alias("weighs"), body.alias("fact")))
 
+    known, top = F.lit(True), F.lit(bool(top_n))
+    first = [fact(known, F.coalesce(F.col("score_rank") > top_n, known), "top_n", F.col("aesthetic"), rank=F.col("score_rank"), keep=top_n)] if top_n else []
+    checked = F.transform("checks", lambda x: fact(known, x["fail"] & ~top, x["kind"], x["value"], x["limit"]))
     groups = [(p, k) for p, k in (("burst", burst_keep), ("dedup", dedup_keep)) if f"{p}_rank" in df.columns]
-    lost = [F.when(F.col(f"{p}_out"), fact(F.lit(p), rank=F.col(f"{p}_rank"), size=F.col(f"{p}_size"), keep=F.lit(k))) for p, k in groups]
-    kept = [F.when(F.col(f"{p}_rank").isNotNull() & ~F.col(f"{p}_out"), fact(F.lit(p), rank=F.col(f"{p}_rank"), size=F.col(f"{p}_size"), keep=F.lit(k))) for p, k in groups]
-    top = [F.when(F.lit(top_n > 0), fact(F.lit("top_n"), value=F.col("aesthetic"), rank=F.col("score_rank"), keep=F.lit(top_n)))] if top_n else []
-    nothing = F.slice(F.array(fact(F.lit(""))), 1, 0)
-    lost_array, kept_array = (F.array_compact(F.array(*x)) if x else nothing for x in (lost, kept))
-    failed = F.concat(F.array_compact(F.array(*top)), lost_array) if top_n else F.concat(where(True), lost_array)
-    other = F.concat(where(True), where(False), kept_array) if top_n else F.concat(where(False), kept_array)
+    rest = [fact(F.col(f"{p}_rank").isNotNull(), F.col(f"{p}_out"), p, rank=F.col(f"{p}_rank"), size=F.col(f"{p}_size"), keep=k) for p, k in groups]
+    rest += [fact(F.coalesce(told, F.lit(False)), rejects, kind, value, limit) for kind, value, limit, told, rejects in hard or []]
+    told = F.concat(*([F.array(*first)] if first else []), checked, *([F.array_compact(F.array(*rest))] if rest else []))
     good = F.col("decided")
     out = df.withColumn("outcome", F.when(~F.col("included"), "excluded").when(good, "good").otherwise("bad"))
-    return out.withColumns({"primary": F.when(good | ~F.col("included"), F.slice(failed, 1, 0)).otherwise(failed), "secondary": F.when(good, F.concat(failed, other)).otherwise(other)})
+    out = out.withColumn("__told", F.when(F.col("included"), told).otherwise(F.slice(told, 1, 0)))
+    side = lambda weighs: F.transform(F.filter("__told", lambda x: x["weighs"] == weighs), lambda x: x["fact"])
+    out = out.withColumns({"primary": side(True), "secondary": side(False)})
+    return out.withColumns({"secondary": F.when(good, F.concat("primary", "secondary")).otherwise(F.col("secondary")), "primary": F.when(good, F.slice("primary", 1, 0)).otherwise(F.col("primary"))}).drop("__told")
 
 
 def write_axis(df: DataFrame, axis: str, good_value, bad_value) -> DataFrame:

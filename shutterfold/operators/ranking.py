@@ -13,21 +13,35 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows dealt to ranges of ``order`` (a total order), with ``__part``, the range, and ``__in_part``, the place in it from 0."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.monotonically_increasing_id())
+    rows = rows.withColumns({"__part": F.shiftright("__part", 33).cast("int"), "__in_part": F.col("__part").bitwiseAND(F.lit((1 << 33) - 1))})
+    return cut(rows)
+
+
+def before(parts: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` computed over the partitions before each one; ``parts`` has one row a partition."""
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(parts.select("__part", *(c.over(earlier).alias(n) for n, c in columns.items())))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "row", running: str | None = None, total: str = "running") -> DataFrame:
     """Adds 1-based ``name`` by ``order`` (which must be a total order) and, for a ``running`` column, its inclusive sum."""
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    rows = placed(df, order)
     value = F.coalesce(F.col(running), F.lit(0)) if running else F.lit(0)
-    sums = placed.groupBy("__part").agg(F.count("*").alias("n"), F.sum(value).alias("v"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = sums.select(
-        F.col("__part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"), F.coalesce(F.sum("v").over(before), F.lit(0)).alias("__v")
-    )
-    own = Window.partitionBy("__part").orderBy(*order)
-    out = placed.join(F.broadcast(offsets), "__part").withColumn(name, (F.row_number().over(own) + F.col("__n")).cast("long"))
+    sums = rows.groupBy("__part").agg(F.count("*").alias("n"), F.sum(value).alias("v"))
+    out = rows.join(before(sums, __n=F.sum("n"), __v=F.sum("v")), "__part").withColumn(name, F.col("__in_part") + 1 + F.coalesce("__n", F.lit(0)))
     if running:
-        out = out.withColumn(total, F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("__v"))
-    return out.drop("__part", "__n", "__v")
+        own = Window.partitionBy("__part").orderBy("__in_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn(total, F.sum(value).over(own) + F.coalesce("__v", F.lit(0)))
+    return out.drop("__part", "__in_part", "__n", "__v")
+
+
+def largest(df: DataFrame, group: list[str]) -> int:
+    """Rows of the largest group."""
+    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
 
 
 def numbered_within(df: DataFrame, group: list[str], order: list[Column], name: str = "row") -> DataFrame:

@@ -76,7 +76,7 @@ CULL_EXPLAIN = f"""WITH {SHOTS_SQL}, j AS (
     concat_ws(',', CASE WHEN f_focus THEN 'focus' END, CASE WHEN f_aes THEN 'aesthetic' END, CASE WHEN coalesce(burst_rank > 2, false) THEN 'burst' END) AS failed,
     concat_ws(',', CASE WHEN NOT f_focus THEN 'focus' END, CASE WHEN has_a AND NOT f_aes THEN 'aesthetic' END, CASE WHEN burst_rank <= 2 THEN 'burst' END) AS other FROM z)
 SELECT user_id, idx, outcome, burst, burst_rank, burst_size, CASE WHEN outcome = 'bad' THEN failed ELSE '' END AS primary_facts,
-  CASE WHEN outcome = 'good' THEN concat_ws(',', nullif(failed, ''), nullif(other, '')) ELSE other END AS secondary_facts FROM o"""
+  CASE outcome WHEN 'good' THEN concat_ws(',', nullif(failed, ''), nullif(other, '')) WHEN 'bad' THEN other ELSE '' END AS secondary_facts FROM o"""
 
 
 def _scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,3 +154,33 @@ def test_numbering_is_global(spark):
         total += r["size"]
         assert (r.place, r.upto) == (i + 1, total)
     assert ranking.numbered(df.where("false"), [F.col("v")], "place").count() == 0
+
+
+def test_large_groups_give_the_same_rows(spark, monkeypatch):
+    """Groups cut into ranges against windows, with one group of half of all rows and bursts that cross ranges."""
+    rng = random.Random(8)
+    rows = [{"part": 1 if i % 2 else rng.randint(2, 40), "shot_time": None if rng.random() < 0.1 else rng.randint(0, 900), "rank": rng.choice([0.5, rng.random()]), "good": rng.random() < 0.8, "iso": rng.choice([100, 200, None]),
+             "sharp": rng.choice([None, 0.2, rng.random()]) if i % 3 else None, "aesthetic": rng.choice([None, 0.7, math.nan])} for i in range(600)]
+    df = items(spark, rows).withColumn("cluster", F.when(F.col("idx") % 5 > 0, F.col("idx") % 3).cast("long"))
+    chain = items(spark, [{"shot_time": i} for i in range(300)] + [{"part": 1, "shot_time": 5}])
+    whole = lambda d: sorted(tuple(r) for r in d.collect())
+    order = [F.col("shot_time").isNull(), F.col("shot_time"), F.col("idx")]
+
+    def found():
+        decided = C.decide(df, ["part"], C.MetaFilter(iso_max=150), 3, 2, "cluster", 1).select("idx", "included", "burst", "burst_rank", "burst_size", "dedup_rank", "dedup_size", "decided")
+        return sorted(map(str, decided.collect())), whole(C.burst_ids(chain, ["part"], order, 2).select("part", "idx", "burst")), whole(C.burst_ids(df, [], order, 4).select("idx", "burst")), C.burst_ids(chain.limit(0), ["part"], order, 2).count()
+
+    windows = found()
+    monkeypatch.setattr(C, "GROUP_ROWS", -1)
+    assert found() == windows
+
+
+def test_facts_of_hard_filters_and_ranks(spark):
+    df = items(spark, [{"aesthetic": a, "shot_time": 10 * i} for i, a in enumerate((0.9, 0.8, 0.1))]).withColumns({"sharpness": F.lit(0.2).cast("float"), "face": F.col("idx") > 0})
+    judged = C.verdicts(df.drop("good"), C.Criteria(focus=0.5, top_n=2)).withColumn("good", F.col("good") & F.col("face"))
+    hard = [("face_missing", None, None, ~F.col("face"), F.lit(True))]
+    got = C.explain(C.decide(judged, ["part"]), top_n=2, hard=hard).orderBy("idx").collect()
+    kinds = lambda facts: [f.kind for f in facts]
+    assert [(r.outcome, kinds(r.primary), kinds(r.secondary)) for r in got] == [
+        ("bad", ["face_missing"], ["top_n", "focus"]), ("good", [], ["top_n", "focus"]), ("bad", ["top_n"], ["focus"]),
+    ]
