@@ -98,27 +98,34 @@ def sanitized(s: Column, empty: Column) -> Column:
     return F.when(F.coalesce(clean, F.lit("")) == "", empty).otherwise(clean)
 
 
+#: Tokens of a file name template that are numbers.
+NUMBERS = ("seq", "order", "gradeseq")
+
+
 def grade(stars: Column) -> Column:
     """5 is A, 1 is E; other values have no letter."""
     return F.when(stars.between(1, 5), F.substring(F.lit("EDCBA"), stars, F.lit(1))).otherwise("")
 
 
-def templated(template: str, values: dict[str, Column], original: Column) -> Column:
+def templated(template: str, values: dict[str, Column], original: Column, prefix: dict[str, Column] | None = None) -> Column:
     """A file name from ``{token}`` and ``{token:0N}`` parts.
 
-    Unknown tokens are empty and an unclosed brace is literal text; the result
-    is sanitised, and the original stem stands in for an empty one.
+    Only tokens in ``NUMBERS`` take a width; ``prefix`` stands before a token's
+    padded number.  Unknown tokens are empty, a brace without an end is literal
+    text; the result is sanitised, and the original stem stands in for an empty
+    one.
     """
     parts: list[Column] = []
-    for literal, name, width in re.findall(r"([^{]+)|\{([A-Za-z]*)(?::0?([0-9]+))?\}|\{", template) or []:
-        if literal:
-            parts.append(F.lit(literal))
-        elif name in values:
+    for literal, token, rest in re.findall(r"(?s)([^{]+)|\{([^}]*)\}|(\{.*)", template):
+        if literal or rest:
+            parts.append(F.lit(literal or rest))
+            continue
+        name, _, width = token.partition(":")
+        if name in values:
             value = values[name].cast("string")
-            n = int(width) if width else 0
-            parts.append(F.when(F.length(value) < n, F.lpad(value, n, "0")).otherwise(value) if n else value)
-        elif not name:
-            parts.append(F.lit("{"))
+            n = int(width.strip()) if name in NUMBERS and width.strip().isdecimal() else 0
+            value = F.when(F.length(value) < n, F.lpad(value, n, "0")).otherwise(value) if n else value
+            parts.append(F.concat(prefix[name], value) if prefix and name in prefix else value)
     built = F.concat(*[F.coalesce(p, F.lit("")) for p in parts]) if parts else F.lit("")
     return sanitized(built, original)
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import choices
 from ..functions import names as N
 from .components import connected_components
 from .lineage import stored
@@ -36,27 +37,44 @@ def companions(members: Column, which: str) -> Column:
 
 
 def plan(items: DataFrame, chosen: Column, which: str = "both", order: str = "pos") -> DataFrame:
-    """One row per file to send: ``item_id, pos, path, slot, label, stars, tag, seq, grade_seq``.
+    """One row per file to send: ``item_id, pos, path, slot, stem, label, stars, tag, seq, grade_seq``.
 
     ``seq`` counts the selected items that have a matching member, in order;
-    ``grade_seq`` does so within a star count.
+    ``grade_seq`` does so within a star count.  ``stem`` is the item's, of its
+    first member where it has none.
     """
-    items = items.where(chosen).withColumn("members", companions(F.col("members"), which)).where(F.size("members") > 0)
-    places = numbered(items.select("item_id", "stars", F.col(order).alias("__at")), [F.col("__at"), F.col("item_id")], "seq")  # keys only are ranked
-    places = numbered_within(places, ["stars"], [F.col("__at"), F.col("item_id")], "grade_seq")
+    first = N.stem(F.col("members").getItem(0))
+    items = items.where(chosen).withColumn("stem", F.coalesce(F.col("stem"), first) if "stem" in items.columns else first)
+    items = items.withColumn("members", companions(F.col("members"), which)).where(F.size("members") > 0)
+    places = numbered(items.select("item_id", F.least("stars", F.lit(5)).alias("grade"), F.col(order).alias("__at")), [F.col("__at"), F.col("item_id")], "seq")  # keys only are ranked
+    places = numbered_within(places, ["grade"], [F.col("__at"), F.col("item_id")], "grade_seq")
     graded = items.join(places.select("item_id", "seq", "grade_seq"), "item_id")
-    return graded.select("item_id", order, F.posexplode("members").alias("slot", "path"), "label", "stars", "tag", "seq", "grade_seq")
+    return graded.select("item_id", order, F.posexplode("members").alias("slot", "path"), "stem", "label", "stars", "tag", "seq", "grade_seq")
 
 
-def renamed(planned: DataFrame, template: str) -> DataFrame:
-    """Adds ``new_name`` from the template; the extension stays."""
-    orig = N.stem(F.col("path"))
+def renamed(planned: DataFrame, template: str | None, by_grade: bool = False) -> DataFrame:
+    """Adds ``new_name``: all files of an item share the stem that the template makes; the extension stays.
+
+    ``by_grade`` counts ``{seq}`` within the grade and leaves items without
+    stars at their names, as no template does for all.
+    """
+    name = N.file_name(F.col("path"))
+    if template is None:
+        return planned.withColumn("new_name", name)
+    grade = N.grade(F.least("stars", F.lit(5)))
     values = {
-        "seq": F.col("seq"), "order": F.col("seq"), "grade": N.grade(F.col("stars")), "gradeseq": F.col("grade_seq"), "stars": F.col("stars"),
-        "label": F.col("label"), "tag": F.coalesce("tag", F.lit("")), "orig": orig,
+        "seq": F.col("grade_seq" if by_grade else "seq"), "order": F.col("seq"), "grade": grade, "gradeseq": F.col("grade_seq"), "stars": F.col("stars"),
+        "label": F.col("label"), "tag": F.coalesce("tag", F.lit("untagged")), "orig": F.col("stem"),
     }
-    suffix = F.regexp_extract(N.file_name(F.col("path")), r"(?<=.)(\.[^.]*)$", 1)
-    return planned.withColumn("new_name", F.concat(N.templated(template, values, orig), suffix))
+    suffix = F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
+    made = F.concat(N.templated(template, values, F.col("stem"), {"gradeseq": grade}), suffix)
+    return planned.withColumn("new_name", F.when(F.col("stars") == 0, name).otherwise(made) if by_grade else made)
+
+
+def in_place(by_folder: bool = False) -> Column:
+    """Planned files that are already where and what they shall be; ``by_folder``: whatever their names.  They are not sent and meet no collision."""
+    here = choices.same_folder(N.parent(F.col("path")), F.col("folder"))
+    return here if by_folder else here & (N.file_name(F.col("path")) == F.col("name"))
 
 
 def _suffixed(name: str, n: int) -> str:
@@ -175,6 +193,7 @@ def report(results: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "in_place").alias("in_place"),
         F.coalesce(F.sum(F.when(sent, F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(F.col("status") == "failed").alias("failures"),
         F.count_if(sent & (N.file_name(F.col("path")) != F.col("final_name"))).alias("renames"),
+        *([F.count_if(sent & F.col("left")).alias("remove_failed")] if "left" in results.columns else []),
     )
 
 
@@ -182,7 +201,8 @@ def execute(planned: DataFrame, move: bool = False) -> DataFrame:
     """Copies or moves ``path`` to ``folder/final_name`` on a file system that all workers mount.
 
     A target that exists is never overwritten; a failed copy leaves nothing
-    behind; a moved file whose source can't be removed still counts as sent.
+    behind; a moved file whose source can't be removed still counts as sent, and
+    is ``left``.
     """
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +210,7 @@ def execute(planned: DataFrame, move: bool = False) -> DataFrame:
             rows = []
             for r in frame.itertuples():
                 target = None if r.final_name is None else os.path.join(r.folder, r.final_name)
-                status, size = "sent", 0
+                status, size, left = "sent", 0, False
                 if target is None:
                     status = "skipped"
                 elif os.path.abspath(target) == os.path.abspath(r.path):
@@ -211,13 +231,13 @@ def execute(planned: DataFrame, move: bool = False) -> DataFrame:
                             try:
                                 os.unlink(r.path)
                             except OSError:
-                                pass
+                                left = True
                     except OSError:
                         status = "failed"
-                rows.append((r.path, r.folder, r.final_name, status, size))
-            yield pd.DataFrame(rows, columns=["path", "folder", "final_name", "status", "size"])
+                rows.append((r.path, r.folder, r.final_name, status, size, left))
+            yield pd.DataFrame(rows, columns=["path", "folder", "final_name", "status", "size", "left"])
 
-    return planned.select("path", "folder", "final_name").mapInPandas(send, "path string, folder string, final_name string, status string, size long")
+    return planned.select("path", "folder", "final_name").mapInPandas(send, "path string, folder string, final_name string, status string, size long, left boolean")
 
 
 def organise(files: DataFrame, target: str, by: str) -> DataFrame:

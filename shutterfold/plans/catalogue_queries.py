@@ -168,7 +168,7 @@ def rename_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RENAME_FIRST = f"""WITH {TRANSFER}, raw AS (SELECT item_id, path, row_number() OVER (PARTITION BY item_id ORDER BY path) AS slot FROM items JOIN files ON item_id = l_orderkey WHERE path LIKE '%.NEF'),
 n AS (SELECT *, dense_rank() OVER (ORDER BY item_id) AS seq FROM raw)
-SELECT path, lpad(CAST(seq AS VARCHAR), 4, '0') || '-' || regexp_extract(path, '([^/]*)$', 1) AS new_name FROM n ORDER BY seq, slot LIMIT 20"""
+SELECT path, lpad(CAST(seq AS VARCHAR), 4, '0') || '-' || (SELECT regexp_extract(min(f.path), '([^/]*)\\.[A-Za-z]*$', 1) FROM files f WHERE f.l_orderkey = n.item_id) || '.NEF' AS new_name FROM n ORDER BY seq, slot LIMIT 20"""
 
 
 def shown_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def rename_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RENAME_PREVIEW = f"""WITH {TRANSFER} SELECT path, label || '-' || CASE WHEN seq < 100000 THEN lpad(CAST(seq AS VARCHAR), 5, '0') ELSE CAST(seq AS VARCHAR) END || '_' || CASE WHEN stars BETWEEN 1 AND 5 THEN substr('EDCBA', stars, 1) ELSE '' END
-  || CASE WHEN grade_seq < 1000 THEN lpad(CAST(grade_seq AS VARCHAR), 3, '0') ELSE CAST(grade_seq AS VARCHAR) END || '_' || regexp_extract(path, '([^/]*)\\.NEF$', 1) || '.NEF' AS new_name,
+  || CASE WHEN stars BETWEEN 1 AND 5 THEN substr('EDCBA', stars, 1) ELSE '' END || CASE WHEN grade_seq < 1000 THEN lpad(CAST(grade_seq AS VARCHAR), 3, '0') ELSE CAST(grade_seq AS VARCHAR) END || '_' || (SELECT regexp_extract(min(f.path), '([^/]*)\\.[A-Za-z]*$', 1) FROM files f WHERE f.l_orderkey = sent.item_id) || '.NEF' AS new_name,
   CASE WHEN label <> 'unrated' THEN label WHEN stars > 0 THEN stars || 'star' ELSE 'unrated' END AS folder FROM sent JOIN numbered USING (item_id)"""
 
 

@@ -46,6 +46,7 @@ def decoded(files: DataFrame, folder: str, min_edge: int | None = None) -> DataF
     kept = ["path", "bytes_from", "orientation", "original_edge", "__name"]
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
         for frame in frames:
             for name, data in zip(frame["__name"], frame["bytes"], strict=True):
                 if data is not None:
