@@ -53,6 +53,8 @@ MAX_LANGUAGES = 256
 SMOOTH = 0.1
 MEMO = 1 << 18
 LONGEST_KEPT = 64
+#: Words of about so many characters are summed at once.
+LATTICE_CHARS = 1 << 17
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 _MARK, _NOTHING = pa.scalar(MARK, pa.large_string()), pa.scalar("", pa.large_string())
 
@@ -142,22 +144,38 @@ def costs(lattice: Lattice, log_p: np.ndarray, vocabulary: Vocabulary) -> np.nda
     return (np.vstack([log_p, *odd]) if odd else log_p)[lattice.piece]
 
 
+def _runs(words: list[str]) -> Iterator[slice]:
+    """Slices of about ``LATTICE_CHARS`` characters, so that a long text with many new words takes bounded memory."""
+    size = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    lo = 0
+    while lo < len(words):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + LATTICE_CHARS, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
 def word_scores(words: list[str], log_p: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Log probability of each marked word (rows) in each language (columns)."""
-    lattice = Lattice(words, vocabulary)
-    return lattice.forward(costs(lattice, log_p, vocabulary))[lattice.last]
+    out = np.empty((len(words), log_p.shape[1]))
+    for part in _runs(words):
+        lattice = Lattice(words[part], vocabulary)
+        out[part] = lattice.forward(costs(lattice, log_p, vocabulary))[lattice.last]
+    return out
 
 
 def expected(words: list[str], n: np.ndarray, log_p: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Expected occurrences of every piece in words that stand ``n`` times, under one language's probabilities."""
-    lattice = Lattice(words, vocabulary)
-    cost = costs(lattice, log_p[:, None], vocabulary)
-    forward, backward = lattice.forward(cost)[:, 0], lattice.backward(cost)[:, 0]
-    share = np.exp(forward[lattice.start] + cost[:, 0] + backward[lattice.end] - forward[lattice.last[lattice.word]]) * n[lattice.word]
-    total = np.bincount(lattice.piece, weights=share, minlength=vocabulary.size + len(lattice.odd))
-    for c, count in zip(lattice.odd, total[vocabulary.size :]):
-        np.add.at(total, vocabulary.bytes[list(c.encode())], count)
-    return total[: vocabulary.size]
+    out = np.zeros(vocabulary.size)
+    for part in _runs(words):
+        lattice = Lattice(words[part], vocabulary)
+        cost = costs(lattice, log_p[:, None], vocabulary)
+        forward, backward = lattice.forward(cost)[:, 0], lattice.backward(cost)[:, 0]
+        share = np.exp(forward[lattice.start] + cost[:, 0] + backward[lattice.end] - forward[lattice.last[lattice.word]]) * n[part][lattice.word]
+        total = np.bincount(lattice.piece, weights=share, minlength=vocabulary.size + len(lattice.odd))
+        for c, count in zip(lattice.odd, total[vocabulary.size :]):
+            np.add.at(total, vocabulary.bytes[list(c.encode())], count)
+        out += total[: vocabulary.size]
+    return out
 
 
 def marked_words(texts: pa.Array) -> pa.ListArray:

@@ -48,6 +48,15 @@ def test_forward_and_expected_counts_equal_all_segmentations():
         assert np.allclose(langid.expected(words, n.astype(float), log_p[:, i], own), counts[:, i])
 
 
+def test_small_lattices_give_the_same(monkeypatch):
+    own, log_p = small()
+    words = ["▁" + "".join(w) for w in itertools.product("abcé", repeat=3)] + ["▁" + "ab" * 50, "▁"]
+    n = np.arange(len(words), dtype=float)
+    want = langid.word_scores(words, log_p, own), langid.expected(words, n, log_p[:, 1], own)
+    monkeypatch.setattr(langid, "LATTICE_CHARS", 9)
+    assert np.allclose(langid.word_scores(words, log_p, own), want[0]) and np.allclose(langid.expected(words, n, log_p[:, 1], own), want[1])
+
+
 def test_long_words_do_not_underflow():
     own, log_p = small()
     words = ["▁" + "ab" * 20_000, "▁a", "▁" + "é" * 3000]
