@@ -16,6 +16,7 @@ is replaced.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -24,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MEMO = 1 << 20  # entries of each memo, which hold keys of at most 64 bytes: two full ones take some 400 MB of a worker
 NEVER = 1 << 60
@@ -163,3 +165,26 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
         return pa.array([one.decode(values[a:b]) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], present, strict=True)], pa.binary())
 
     return df.withColumn(out, joined(F.col(ids)))
+
+
+def checked(df: DataFrame, path: str, pattern: str, text: str = "text", memo: int = MEMO) -> DataFrame:
+    """Adds ``ids array<int>, n_tokens long, round_trip boolean`` in one pass.
+
+    Every task makes its own codec and gives it back at its end: the worker
+    processes of a pipeline go on to other stages, which need the memory.
+    """
+    added = ("ids", "n_tokens", "round_trip")
+    base = df.select(*(c for c in df.columns if c not in added))
+    schema = base.schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("round_trip", T.BooleanType())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = Codec(read_ranks(path), pattern, memo)
+        for batch in batches:
+            texts = [x or "" for x in batch[text].to_pylist()]
+            parts = [one.encode(x) for x in texts]
+            n = np.array([len(x) // 4 for x in parts], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            same = [one.decode(np.frombuffer(p, "<i4")) == x.encode() for p, x in zip(parts, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(n), pa.array(same, pa.bool_())], names=[*batch.schema.names, *added])
+
+    return base.mapInArrow(task, schema)

@@ -14,10 +14,7 @@ STAGE_MEMO = 1 << 18  # the stages before this one have filled the executors' me
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: ids of every text beside the columns of ``docs``, checked by decoding them."""
-    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs, path, pattern, memo=STAGE_MEMO), path, pattern, out="__decoded", memo=STAGE_MEMO)
-    same = F.col("__decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    return bpe.checked(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, memo=STAGE_MEMO)
 
 
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
