@@ -175,7 +175,7 @@ def checked(df: DataFrame, path: str, pattern: str, text: str = "text", memo: in
     """
     added = ("ids", "n_tokens", "round_trip")
     base = df.select(*(c for c in df.columns if c not in added))
-    schema = base.schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("round_trip", T.BooleanType())
+    schema = T.StructType(list(base.schema.fields)).add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("round_trip", T.BooleanType())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Codec(read_ranks(path), pattern, memo)
