@@ -24,6 +24,8 @@ CANON_LENS, CANON_FOCUS, CANON_FOCUS_OLD = 0x0095, (0x003C, 0x0026), 0x0012
 PANASONIC_PLACE, PANASONIC_SIZE, SONY_FOCUS = 0x004D, 0x00DE, 0x2027
 OLYMPUS_EQUIPMENT, OLYMPUS_SETTINGS, OLYMPUS_LENS, OLYMPUS_AREAS, OLYMPUS_SELECTED = 0x2010, 0x2020, 0x0203, 0x0304, 0x0305
 OLYMPUS_SPEC = {"wide": 0x0207, "tele": 0x0208, "wide_open": 0x0205, "tele_open": 0x0206}
+NIKON_FOCUS, NIKON_BOX, NIKON_WIDEST = 0x00B7, (260, 286), 0.1
+PENTAX_LENS = (0x0239, 0x023A)
 MOST_POINTS, MOST_GRID = 256, 4096
 
 Tags = dict[int, list]
@@ -113,6 +115,22 @@ def olympus_lens(equipment: Tags) -> str | None:
     return f"{focal} F{a:.1f}" if abs(a - b) < 0.05 else f"{focal} F{a:.1f}-{b:.1f}"
 
 
+def nikon(table: bytes, order: str) -> list[dict]:
+    """The one point of mirrorless bodies, in pixels of the image; tables without places (bit masks of a grid) give none."""
+    if len(table) < 0x46 or not table.startswith(b"04") or table[7] != 1:
+        return []
+    width, height, x, y = struct.unpack_from(order + "4H", table, 0x3E)
+    if not width or not height or x > width or y > height:
+        return []
+    return [_point(x / width, y / height, *(min(box / side, NIKON_WIDEST) for box, side in zip(NIKON_BOX, (width, height), strict=True)))]
+
+
+def pentax_lens(tags: Tags) -> str | None:
+    """A lens text where the note has one; numbers of lens types stay unnamed."""
+    texts = (tiff._text(tags, t) for t in PENTAX_LENS if isinstance(tags.get(t, [0])[0], bytes))
+    return next((t for t in texts if t and t.isascii() and t.isprintable()), None)
+
+
 def _sub(data: bytes, order: str, tags: Tags, tag: int) -> Tags:
     at = tags.get(tag, [0])[0]
     return tiff.ifd(data, order, at)[0] if isinstance(at, int) else {}
@@ -145,6 +163,15 @@ def notes(block: bytes) -> dict | None:
     if sign.startswith(b"OLYMP\0"):
         tags = read(place + 8)
         return {"source": "olympus", "lens": lens or olympus_lens(_sub(block, order, tags, OLYMPUS_EQUIPMENT)), "points": olympus(_sub(block, order, tags, OLYMPUS_SETTINGS))}
+    if sign.startswith(b"Nikon\0"):
+        own = block[place + 10 :]  # a TIFF block of its own
+        inner = tiff.header(own)
+        table = tiff.ifd(own, *inner)[0].get(NIKON_FOCUS, [b""])[0] if inner else b""
+        return {"source": "nikon", "lens": lens, "points": nikon(table, inner[0]) if isinstance(table, bytes) and inner else []}
+    if sign.startswith(b"PENTAX \0"):
+        own = block[place:]
+        tags = tiff.ifd(own, {b"II": "<", b"MM": ">"}.get(own[8:10], order), 10)[0]
+        return {"source": "pentax", "lens": lens or pentax_lens(tags), "points": []}
     if make.startswith("Canon"):
         tags = read(place)
         return {"source": "canon", "lens": lens or (tiff._text(tags, CANON_LENS) if CANON_LENS in tags else None), "points": canon(tags, model)}

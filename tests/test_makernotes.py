@@ -89,6 +89,27 @@ def test_olympus_boxes_and_lens_texts():
     assert old["lens"] == "Kin 8" and [round(p["cx"], 3) for p in old["points"]] == [0.2, 1.0]
 
 
+def nikon_note(version=b"0400", flag=1, place=(8000, 5000, 2000, 1000), size=0x46):
+    table = (version + b"\0\0\0" + bytes([flag])).ljust(0x3E, b"\0") + shorts(*place)
+    return lambda at: b"Nikon\0\x02\x11\0\0" + b"II*\0\x08\0\0\0" + directory([(makernotes.NIKON_FOCUS, 7, size, table[:size])], 8)
+
+
+def test_nikon_point():
+    points = lambda **k: makernotes.notes(photo(b"NIKON\0", nikon_note(**k)))["points"]
+    assert [(p["cx"], p["cy"], p["w"], p["h"], p["in_focus"]) for p in points()] == [(0.25, 0.2, 260 / 8000, 286 / 5000, True)]
+    assert points(place=(100, 100, 100, 0))[0]["w"] == 0.1
+    assert points(version=b"0101") == points(flag=0) == points(place=(10, 10, 11, 1)) == points(place=(0, 10, 0, 1)) == points(size=0x44) == []
+
+
+def test_pentax_lens():
+    def note(tag, text, sign=b"PENTAX \0II"):
+        return lambda at: sign + directory([(tag, 2, len(text), text)], len(sign))
+
+    lens = lambda *a: makernotes.notes(photo(b"RICOH\0", note(*a)))["lens"]
+    assert lens(makernotes.PENTAX_LENS[0], b"Kin 35 mm\0") == lens(makernotes.PENTAX_LENS[1], b"Kin 35 mm\0") == "Kin 35 mm"
+    assert lens(0x003F, b"\x08\x3e\0\0\0\0") is None and lens(makernotes.PENTAX_LENS[1], b"\x01\x80\xff\x02\x03\0") is None
+
+
 def test_notes_of_files(spark):
     rows = [(0, bytearray(photo(b"Canon\0", canon_note))), (1, bytearray(b"\xff\xd8\xff\xe1\0\x10Exif\0\0" + photo(b"Canon\0", canon_note))), (2, bytearray(b"junk")), (3, None), (4, bytearray(photo(b"Other\0", lambda at: b"x" * 20)))]
     df = makernotes.with_notes(tiff.read_info(spark.createDataFrame(rows, "i int, content binary")))
