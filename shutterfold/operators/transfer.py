@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -95,7 +98,7 @@ def _family(folder: Column, low: Column) -> Column:
 
 
 def _counted_names(planned: DataFrame, taken: DataFrame, skip: bool) -> DataFrame:
-    """``final_name`` where all plans of a family want one name: the k-th copy takes the k-th number that is free.
+    """``final_name`` where all slot groups of tied families want the same ``__wide`` names: the k-th group takes the k-th number free for all of them.
 
     The j-th smallest taken number has ``number - (j - 1)`` free ones before
     it, so the k-th free number is k plus the taken ones with k of those or
@@ -109,7 +112,7 @@ def _counted_names(planned: DataFrame, taken: DataFrame, skip: bool) -> DataFram
     number = F.when(F.col("__low") == F.col("__wanted"), 0).when(inside & middle.rlike("^_([0-9]{3}|[1-9][0-9]{3,})$"), F.substring(middle, 2, 20).try_cast("long"))
     numbers = taken.join(wanted, "__tied").select("__tied", number.alias("__number")).where("__number is not null").distinct()
     before = numbered_within(numbers, ["__tied"], [F.col("__number")], "__j").select("__tied", (F.col("__number") - F.col("__j") + 1).alias("__at"), F.lit(1).alias("__taken"))
-    copies = numbered_within(planned, ["__tied"], [F.col("pos"), F.col("item_id"), F.col("__k")], "__copy").withColumn("__at", F.col("__copy") - 1)
+    copies = numbered_within(planned, ["__tied"], [F.col("pos"), F.col("item_id"), F.col("__k")], "__copy").withColumn("__at", F.floor((F.col("__copy") - 1) / F.col("__wide")))
     both = copies.withColumn("__taken", F.lit(0)).unionByName(before, allowMissingColumns=True)
     order = [F.col("__tied"), F.col("__at"), F.col("__taken").desc(), F.col("__copy")]
     placed = numbered(both, order, "__row", "__taken", "__upto")
@@ -118,7 +121,7 @@ def _counted_names(planned: DataFrame, taken: DataFrame, skip: bool) -> DataFram
     stem, ext = _parts(F.col("name"))
     suffix = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
     final = F.when(n == 0, F.col("name")).otherwise(F.lit(None).cast("string") if skip else F.concat(stem, F.lit("_"), suffix, ext))
-    return placed.where("__taken = 0").join(start, "__tied").withColumn("final_name", final).select(*planned.columns, "final_name")
+    return placed.where("__taken = 0").join(start, "__tied").withColumn("final_name", final).select(*(c for c in planned.columns if c != "__wide"), "final_name")
 
 
 def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = False) -> DataFrame:
@@ -131,16 +134,19 @@ def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = Fal
     Names meet only within a family (one folder, stem without number suffixes
     and extension), families only through a group that has files in several.
     Where a family holds a name that is wanted twice or taken, its copies are
-    counted when all want one name; families tied together, or with several
-    wanted names, go to a task of their own.  All other files keep their names.
+    counted when all slot groups of it, and of the families tied to it, want the
+    same names, one in each family.  The others, whose groups want different
+    names that meet, go to a task of their own.  All other files keep their
+    names.
     """
     planned = planned.withColumns({"__low": F.lower("name"), "__family": _family(F.col("folder"), F.lower("name"))})
     planned = planned.withColumn("__k", F.row_number().over(Window.partitionBy("folder", "item_id", "__low").orderBy("pos")) - 1)
     taken = existing.select("folder", F.lower("name").alias("__low")).distinct().withColumn("__family", _family(F.col("folder"), F.col("__low")))
     rivals = planned.groupBy("folder", "__low").agg(F.count("*").alias("n")).where("n > 1").select("folder", "__low")
     groups = planned.groupBy("folder", "pos", "item_id", "__k").agg(F.collect_set("__family").alias("all")).where("size(all) > 1")
-    edges = groups.select(F.array_min("all").alias("src"), F.explode("all").alias("dst"))
-    if edges.isEmpty():
+    edges = groups.select(F.array_min("all").alias("src"), F.explode("all").alias("dst")).distinct()
+    several = not edges.isEmpty()
+    if not several:
         planned, taken = (df.withColumn("__tied", F.col("__family")) for df in (planned, taken))
     else:
         tied = connected_components(edges).select(F.col("node").alias("__family"), F.col("component").alias("__tied"))
@@ -148,9 +154,17 @@ def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = Fal
     contested = planned.join(taken.select("folder", "__low").unionByName(rivals).distinct(), ["folder", "__low"], "left_semi").select("__tied").distinct()
     free = planned.join(contested, "__tied", "left_anti").withColumn("final_name", F.col("name"))
     disputed = stored(planned.join(contested, "__tied", "left_semi"))  # read for its families, its copies and what is left
-    single = disputed.groupBy("__tied").agg(F.min("__low").alias("lo"), F.max("__low").alias("hi")).where("lo = hi").select("__tied")
-    counted = _counted_names(disputed.join(single, "__tied", "left_semi"), taken.join(single, "__tied", "left_semi"), skip)
-    hard = disputed.join(single, "__tied", "left_anti")
+    wide, wants = F.lit(1), disputed.select("__tied", F.col("__low").alias("__names"))
+    if several:  # the names that each slot group wants, which are an item's few files
+        names, families = F.collect_set("__low"), F.size(F.collect_set("__family"))
+        wants = disputed.groupBy("__tied", "pos", "item_id", "__k").agg(
+            F.when(F.size(names) == families, F.array_join(F.sort_array(names), "/")).alias("__names"), families.alias("__families")
+        )
+        wide = F.max("__families")
+    alike = (F.min("__names") == F.max("__names")) & (F.count("__names") == F.count("*"))
+    even = wants.groupBy("__tied").agg(wide.alias("__wide"), alike.alias("__alike")).where("__alike").select("__tied", "__wide")
+    counted = _counted_names(disputed.join(even, "__tied"), taken.join(even.select("__tied"), "__tied", "left_semi"), skip)
+    hard = disputed.join(even, "__tied", "left_anti")
     schema = hard.withColumn("final_name", F.lit(None).cast("string")).schema
 
     def resolve(plans: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
@@ -197,13 +211,92 @@ def report(results: DataFrame) -> DataFrame:
     )
 
 
-def execute(planned: DataFrame, move: bool = False) -> DataFrame:
+def _noted(mark: str) -> tuple[int, float] | None:
+    """Size and time that a mark holds; None without one, or where its writer was lost half-way."""
+    try:
+        with open(mark) as file:
+            size, modified, end = file.read().split(" ")
+        return (int(size), float(modified)) if end == "." else None
+    except (OSError, ValueError):
+        return None
+
+
+def _fill(source: str, target: str, part: str, move: bool) -> None:
+    """Replaces ``target`` by the source itself or by a copy of it, made as ``part``."""
+    if move and not os.path.islink(source):
+        try:
+            return os.replace(source, target)
+        except OSError:  # another file system, or a source that can't be taken away
+            pass
+    try:
+        shutil.copyfile(source, part)
+        shutil.copystat(source, part)
+        os.replace(part, target)
+    except OSError:
+        with suppress(OSError):
+            os.unlink(part)
+        raise
+
+
+def deliver(source: str, target: str, mark: str, move: bool = False) -> tuple[int, bool]:
+    """Puts ``source`` at ``target``, which must be free or ``mark``'s own: its size, and whether a moved source is left.
+
+    The mark is written first; then the name is taken by an empty file that is
+    replaced as a whole.  After a lost worker the next attempt finds the mark:
+    what is complete stays, an empty file is filled, and another's file is an
+    error as for everyone.
+    """
+    own = _noted(mark)
+    again = own is not None
+    if not again:
+        if os.path.lexists(target):
+            raise FileExistsError(target)
+        stat = os.stat(source)
+        own = stat.st_size, stat.st_mtime
+        with open(mark, "w") as file:
+            file.write(f"{own[0]} {own[1]!r} .")
+    try:
+        try:
+            os.close(os.open(target, os.O_WRONLY | os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            if not again:
+                raise
+        there, gone = os.stat(target), not os.path.lexists(source)
+        complete = there.st_size == own[0] and (gone or (own[0] > 0 and abs(there.st_mtime - own[1]) <= 2))  # some file systems keep time in steps of 2 s
+        if not complete and there.st_size:
+            raise FileExistsError(target)
+        if not complete:
+            try:
+                _fill(source, target, f"{mark}.{uuid.uuid4().hex}", move)
+            except OSError:
+                os.unlink(target)
+                raise
+    except OSError:
+        with suppress(OSError):
+            os.unlink(mark)
+        raise
+    left = False
+    if move and os.path.lexists(source):
+        try:
+            os.unlink(source)
+        except OSError:
+            left = True
+    return own[0], left
+
+
+def execute(planned: DataFrame, move: bool = False, run: str | None = None) -> DataFrame:
     """Copies or moves ``path`` to ``folder/final_name`` on a file system that all workers mount.
 
     A target that exists is never overwritten; a failed copy leaves nothing
     behind; a moved file whose source can't be removed still counts as sent, and
-    is ``left``.
+    is ``left``.  Marks beside the targets, hidden from scans, let a task that is
+    run again after a lost executor finish what the lost one began.  With a name
+    of the ``run`` they stay until ``tidy``, so that what the lost one had sent
+    is known too; without, a mark goes with its file, and such files fail, as
+    their names are taken.  Two attempts of one task at the same time
+    (speculative execution) are not provided for.
     """
+    prefix = f"._{run or uuid.uuid4().hex}-"
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -216,22 +309,12 @@ def execute(planned: DataFrame, move: bool = False) -> DataFrame:
                 elif os.path.abspath(target) == os.path.abspath(r.path):
                     status = "in_place"
                 else:
+                    mark = os.path.join(r.folder, prefix + hashlib.sha256(os.fsencode(f"{r.path}\0{r.final_name}")).hexdigest())
                     try:
                         os.makedirs(r.folder, exist_ok=True)
-                        size = os.path.getsize(r.path)
-                        out = os.open(target, os.O_WRONLY | os.O_CREAT | os.O_EXCL)
-                        try:
-                            with os.fdopen(out, "wb") as to, open(r.path, "rb") as source:
-                                shutil.copyfileobj(source, to)
-                            shutil.copystat(r.path, target)
-                        except OSError:
-                            os.unlink(target)
-                            raise
-                        if move:
-                            try:
-                                os.unlink(r.path)
-                            except OSError:
-                                left = True
+                        size, left = deliver(r.path, target, mark, move)
+                        if run is None:
+                            os.unlink(mark)
                     except OSError:
                         status = "failed"
                 rows.append((r.path, r.folder, r.final_name, status, size, left))
@@ -240,6 +323,31 @@ def execute(planned: DataFrame, move: bool = False) -> DataFrame:
     return planned.select("path", "folder", "final_name").mapInPandas(send, "path string, folder string, final_name string, status string, size long, left boolean")
 
 
+def tidy(results: DataFrame, run: str) -> None:
+    """Removes the marks of a run whose results are stored."""
+
+    def clear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for folder in frame["folder"]:
+                with suppress(OSError), os.scandir(folder) as found:
+                    for e in found:
+                        if e.name.startswith(f"._{run}-"):
+                            with suppress(OSError):
+                                os.unlink(e.path)
+            yield frame
+
+    folders = results.where("status in ('sent', 'failed')").select("folder").distinct()
+    folders.mapInPandas(clear, "folder string").write.format("noop").mode("overwrite").save()
+
+
+def send(planned: DataFrame, move: bool = False) -> DataFrame:
+    """``execute`` as one run, at once: each file is sent once, whatever executors are lost, and the results are stored."""
+    run = uuid.uuid4().hex
+    done = stored(execute(planned, move, run))
+    tidy(done, run)
+    return done
+
+
 def organise(files: DataFrame, target: str, by: str) -> DataFrame:
     """``folder, pos, item_id, name, path`` to resolve and send: one row per member of ``files`` (with ``item_id, pos, path, exif_date, modified, camera, lens, focal``)."""
     folder = N.organise_folder(by, *(F.col(c) for c in ("path", "exif_date", "modified", "camera", "lens", "focal")))

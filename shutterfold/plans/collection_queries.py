@@ -164,6 +164,22 @@ k AS (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand
 SELECT p_brand AS folder, p_partkey AS item_id, p_name || '.jpg' AS name, p_name || CASE WHEN i = 0 THEN '' ELSE '_' || lpad(CAST(i AS VARCHAR), 3, '0') END || '.jpg' AS final_name FROM k"""
 
 
+def collision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pairs of a RAW file and an image that keep one number together; some first and second names of either kind exist already."""
+    p = _t(spark, sf_dir, "part")
+    at = [F.col("p_brand").alias("folder"), F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("item_id")]
+    planned = p.select(*at, F.explode(F.array(F.concat("p_name", F.lit(".nef")), F.concat("p_name", F.lit(".jpg")))).alias("name"))
+    first = p.where("p_size > 45").select(F.col("p_brand").alias("folder"), F.concat(F.upper("p_name"), F.lit(".JPG")).alias("name"))
+    second = p.where("p_size < 5").select(F.col("p_brand").alias("folder"), F.concat("p_name", F.lit("_001.nef")).alias("name"))
+    return transfer.resolve_collisions(planned, first.unionByName(second)).select("folder", "item_id", "name", "final_name")
+
+
+COLLISION_PAIRS = """WITH e AS (SELECT p_brand, p_name, bool_or(p_size > 45) AS e0, bool_or(p_size < 5) AS e1 FROM part GROUP BY ALL),
+k AS (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n, e0, e1 FROM part JOIN e USING (p_brand, p_name)),
+i AS (SELECT *, CASE WHEN e0 AND e1 THEN n + 1 WHEN e0 OR (e1 AND n > 1) THEN n ELSE n - 1 END AS i FROM k)
+SELECT p_brand AS folder, p_partkey AS item_id, p_name || ext AS name, p_name || CASE WHEN i = 0 THEN '' ELSE '_' || lpad(CAST(i AS VARCHAR), 3, '0') END || ext AS final_name FROM i, (VALUES ('.nef'), ('.jpg')) AS kinds(ext)"""
+
+
 def organize_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files per date folder and per focal-length folder."""
     o, p = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "part")
@@ -258,7 +274,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         filter_and, axis_counts, term_match, term_distinct, relabel_matches, natural_order, capture_order, pairing_items, session_restore, session_save, session_summary, transfer_plan,
-        rename_preview, collision_names, organize_preview, cache_evict, cache_lookup, distinct_attrs, score_range, jump, mru, lane_latest, near_dup_clusters, dedup_best,
+        rename_preview, collision_names, collision_pairs, organize_preview, cache_evict, cache_lookup, distinct_attrs, score_range, jump, mru, lane_latest, near_dup_clusters, dedup_best,
     )
 }
 ORACLES = {
@@ -271,7 +287,7 @@ ORACLES = {
     "capture_order": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus = 'P', CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END, o_orderkey) AS place FROM orders",
     "pairing_items": PAIRING_SQL, "session_restore": SESSION_RESTORE, "session_save": SESSION_SAVE, "session_summary": SESSION_SUMMARY,
     "transfer_plan": f"WITH {TRANSFER} SELECT item_id, slot, path, label, stars, seq, grade_seq FROM sent JOIN numbered USING (item_id)",
-    "rename_preview": RENAME_PREVIEW, "collision_names": COLLISION_NAMES, "organize_preview": ORGANIZE_PREVIEW, "cache_evict": CACHE_EVICT, "cache_lookup": CACHE_LOOKUP,
+    "rename_preview": RENAME_PREVIEW, "collision_names": COLLISION_NAMES, "collision_pairs": COLLISION_PAIRS, "organize_preview": ORGANIZE_PREVIEW, "cache_evict": CACHE_EVICT, "cache_lookup": CACHE_LOOKUP,
     "distinct_attrs": "SELECT DISTINCT trim(event_type) AS event_type FROM events WHERE trim(event_type) <> ''",
     "score_range": "SELECT min(value) AS low, max(value) AS high, count(*) FILTER (value >= 50) AS good, count(*) FILTER (value < 50) AS bad FROM events",
     "jump": JUMP,

@@ -182,11 +182,11 @@ def preview(items: DataFrame, t: Transfer, n: int) -> DataFrame:
 
 
 def _sent(rows: DataFrame, there: Column, skip: bool, move: bool) -> DataFrame:
-    """Sends what isn't in place yet: collisions with the targets' files are resolved, and the results stored, as sending twice would differ."""
+    """Sends what isn't in place yet: collisions with the targets' files are resolved and stored, for names that are resolved after some were sent would differ."""
     rows = stored(rows.withColumn("there", F.coalesce(there, F.lit(False))))
     todo = rows.where("not there").drop("there", "slot")
     solved = stored(transfer.resolve_collisions(todo, listed(todo), skip))
-    done = stored(transfer.execute(solved, move))
+    done = transfer.send(solved, move)
     still = rows.where("there").select("path", "folder", N.file_name(F.col("path")).alias("final_name"), F.lit("in_place").alias("status"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("left"))
     return done.unionByName(still)
 
