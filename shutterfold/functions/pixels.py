@@ -213,9 +213,9 @@ def score_images(images: DataFrame, image: str = "image", out: str = "report", s
         found = []
         for h, w, c, data, where in zip(rows["height"], rows["width"], rows["nChannels"], rows["data"], rows["boxes"], strict=True):
             try:
-                pixels = np.frombuffer(data, np.uint8).reshape(h, w, c)
+                pixels = np.frombuffer(data, np.uint8).reshape(int(h), int(w), int(c))  # floats where the batch has a null image
                 where = [(b["cx"], b["cy"], b["w"], b["h"]) for b in where] if where is not None else None
-                found.append(report(np.repeat(pixels, 3, axis=2) if c == 1 else pixels[..., 2::-1], signals, where, limits))
+                found.append({} if not pixels.size else report(np.repeat(pixels, 3, axis=2) if c == 1 else pixels[..., 2::-1], signals, where, limits))
             except Exception:  # noqa: BLE001 - one broken image costs one row
                 found.append({})
         names = [f.split(":")[0] for f in REPORT[7:-1].split(",")]

@@ -116,7 +116,7 @@ def score(images: DataFrame, load: Callable[[], Model], prepare: Callable[[np.nd
         model = load()
 
         def pixels(row) -> np.ndarray:
-            x = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
+            x = np.frombuffer(row.data, np.uint8).reshape(int(row.height), int(row.width), int(row.nChannels))  # floats where the batch has a null image
             return np.repeat(x, 3, axis=2) if row.nChannels == 1 else x[..., 2::-1]
 
         def alone(x: np.ndarray):
