@@ -6,8 +6,11 @@ import hashlib
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
+from functools import reduce
+from itertools import groupby
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +20,9 @@ from ..functions import choices
 from ..functions import names as N
 from .components import connected_components
 from .lineage import stored
-from .ranking import numbered, numbered_within
+from .ranking import largest, numbered, numbered_within
+
+TURN_ROWS = 500_000  # rows of one family of names that a task numbers at a time
 
 
 def selected(labels: tuple[str, ...] = (), stars: tuple[int, ...] = (), tags: tuple[str, ...] = (), split: bool = False) -> Column:
@@ -109,7 +114,7 @@ def _counted_names(planned: DataFrame, taken: DataFrame, skip: bool) -> DataFram
     wanted = planned.select("__tied", F.col("__low").alias("__wanted"), stem.alias("__stem"), ext.alias("__ext")).distinct()
     inside = F.col("__low").startswith(F.col("__stem")) & F.col("__low").endswith(F.col("__ext"))
     middle = F.substring(F.col("__low"), F.length("__stem") + 1, F.length("__low") - F.length("__stem") - F.length("__ext"))
-    number = F.when(F.col("__low") == F.col("__wanted"), 0).when(inside & middle.rlike("^_([0-9]{3}|[1-9][0-9]{3,})$"), F.substring(middle, 2, 20).try_cast("long"))
+    number = F.when(F.col("__low") == F.col("__wanted"), 0).when(inside & middle.rlike("^_(?!000$)([0-9]{3}|[1-9][0-9]{3,})$"), F.substring(middle, 2, 20).try_cast("long"))
     numbers = taken.join(wanted, "__tied").select("__tied", number.alias("__number")).where("__number is not null").distinct()
     before = numbered_within(numbers, ["__tied"], [F.col("__number")], "__j").select("__tied", (F.col("__number") - F.col("__j") + 1).alias("__at"), F.lit(1).alias("__taken"))
     copies = numbered_within(planned, ["__tied"], [F.col("pos"), F.col("item_id"), F.col("__k")], "__copy").withColumn("__at", F.floor((F.col("__copy") - 1) / F.col("__wide")))
@@ -124,6 +129,89 @@ def _counted_names(planned: DataFrame, taken: DataFrame, skip: bool) -> DataFram
     return placed.where("__taken = 0").join(start, "__tied").withColumn("final_name", final).select(*(c for c in planned.columns if c != "__wide"), "final_name")
 
 
+def _numbered_form(low: Column) -> tuple[Column, Column]:
+    """(base, number) of a folded name, which no other name has: ``a_002.jpg`` is number 2 of ``a/.jpg``, ``a.jpg`` number 0."""
+    stem, ext = _parts(low)
+    form = r"(?s)^(.*)_([0-9]{3}|[1-9][0-9]{3,17})$"
+    number = F.coalesce(F.regexp_extract(stem, form, 2).try_cast("long"), F.lit(0))
+    return F.concat(F.when(number > 0, F.regexp_extract(stem, form, 1)).otherwise(stem), F.lit("/"), ext), number
+
+
+def _used_numbers(names: DataFrame) -> DataFrame:
+    """Numbers in use as bits, one row for 64 numbers of a base: ``__tied, __base, __word, __bits``; ``names(__tied, __low)``."""
+    base, number = _numbered_form(F.col("__low"))
+    bit = F.expr("shiftleft(1L, cast(__number % 64 as int))")
+    return names.select("__tied", base.alias("__base"), number.alias("__number")).groupBy("__tied", "__base", F.floor(F.col("__number") / 64).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+
+
+def _take_numbers(skip: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Gives slot groups their names, one after the other; all names of a group take the first number that none of them has used."""
+
+    def resolve(plans: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        every = (1 << 64) - 1
+        used = {(b, w): bits & every for b, w, bits in zip(words["__base"], words["__word"], words["__bits"], strict=True)}
+        plans = plans.sort_values(["pos", "item_id", "__k"], kind="stable")
+        final: list[str | None] = []
+        first_open: dict[tuple, int] = {}  # words are only ever filled
+        columns = (plans[c] for c in ("pos", "item_id", "__k", "__low", "name", "__base", "__number", "__form"))
+        for _, files in groupby(zip(*columns, strict=True), key=lambda r: r[:3]):
+            *_, lows, names, bases, numbers, forms = zip(*files, strict=True)
+            if len(set(lows)) < len(lows):
+                raise ValueError(f"one slot group plans a name twice: {lows}")
+            places, n = [(b, m // 64, 1 << m % 64) for b, m in zip(bases, numbers, strict=True)], 0
+            if any(used.get((b, w), 0) & bit for b, w, bit in places):
+                if skip:
+                    final += [None] * len(names)
+                    continue
+                key = tuple(sorted(lows))
+                word = first_open.get(key, 0)
+                while not (free := every & ~reduce(or_, (used.get((f, word), 0) for f in forms), int(word == 0))):
+                    word += 1
+                first_open[key] = word
+                bit = free & -free
+                n = word * 64 + bit.bit_length() - 1
+                places = [(f, word, bit) for f in forms]
+            for b, w, bit in places:
+                used[b, w] = used.get((b, w), 0) | bit
+            final += [_suffixed(x, n) for x in names]
+        return plans.assign(final_name=pd.Series(final, dtype=object, index=plans.index)).drop(columns=["__base", "__number", "__form"])
+
+    return resolve
+
+
+def _in_turn(hard: DataFrame, taken: DataFrame, skip: bool) -> DataFrame:
+    """``final_name`` where slot groups of tied families want different names that meet.
+
+    Each group's number depends on those of all groups before it, so a tied
+    family goes in order: in turns of ``TURN_ROWS`` rows, a task for each family
+    in each turn.  From turn to turn only the numbers in use go on, as bits, and
+    a task reads those of the bases that its rows want.
+    """
+    base, number = _numbered_form(F.col("__low"))
+    stem, ext = _parts(F.col("__low"))
+    schema = hard.withColumn("final_name", F.lit(None).cast("string")).schema
+    rows, turns = hard.withColumn("__turn", F.lit(0).cast("long")), 1
+    if largest(hard, ["__tied"]) > TURN_ROWS:
+        rows = numbered_within(hard, ["__tied"], [F.col("pos"), F.col("item_id"), F.col("__k"), F.col("__low")], "__row")
+        last = F.max("__row").over(Window.partitionBy("__tied", "pos", "item_id", "__k"))  # an item's few files stay together
+        rows = rows.withColumn("__turn", F.floor((last - 1) / TURN_ROWS)).drop("__row")
+        rows = stored(rows.repartitionByRange("__turn", "__tied").sortWithinPartitions("__turn"))  # so that a turn reads its own rows
+        turns = rows.agg(F.max("__turn")).first()[0] + 1
+    rows = rows.withColumns({"__base": base, "__number": number, "__form": F.concat(stem, F.lit("/"), ext)})
+    used = _used_numbers(taken.join(rows.select("__tied").distinct(), "__tied", "left_semi"))
+    done = []
+    for turn in range(turns):
+        now = rows.where(F.col("__turn") == turn).drop("__turn")
+        wanted = now.select("__tied", F.explode(F.array("__base", "__form")).alias("__base")).distinct()
+        known = used.join(wanted, ["__tied", "__base"], "left_semi")
+        done.append(now.groupBy("__tied").cogroup(known.groupBy("__tied")).applyInPandas(_take_numbers(skip), schema))
+        if turn + 1 < turns:
+            done[-1] = stored(done[-1])
+            new = _used_numbers(done[-1].where("final_name is not null").select("__tied", F.lower("final_name").alias("__low")))
+            used = stored(used.unionByName(new).groupBy("__tied", "__base", "__word").agg(F.bit_or("__bits").alias("__bits")))
+    return reduce(DataFrame.unionByName, done)
+
+
 def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = False) -> DataFrame:
     """Adds ``final_name``: conflict-free names in every target folder.
 
@@ -136,8 +224,8 @@ def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = Fal
     Where a family holds a name that is wanted twice or taken, its copies are
     counted when all slot groups of it, and of the families tied to it, want the
     same names, one in each family.  The others, whose groups want different
-    names that meet, go to a task of their own.  All other files keep their
-    names.
+    names that meet, go in order, a bounded number of rows at a time.  All other
+    files keep their names.
     """
     planned = planned.withColumns({"__low": F.lower("name"), "__family": _family(F.col("folder"), F.lower("name"))})
     planned = planned.withColumn("__k", F.row_number().over(Window.partitionBy("folder", "item_id", "__low").orderBy("pos")) - 1)
@@ -165,31 +253,7 @@ def resolve_collisions(planned: DataFrame, existing: DataFrame, skip: bool = Fal
     even = wants.groupBy("__tied").agg(wide.alias("__wide"), alike.alias("__alike")).where("__alike").select("__tied", "__wide")
     counted = _counted_names(disputed.join(even, "__tied"), taken.join(even.select("__tied"), "__tied", "left_semi"), skip)
     hard = disputed.join(even, "__tied", "left_anti")
-    schema = hard.withColumn("final_name", F.lit(None).cast("string")).schema
-
-    def resolve(plans: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        used = set(there["__low"])
-        out, next_free = {}, {}
-        plans = plans.sort_values(["pos", "item_id", "__k"], kind="stable")
-        for _, group in plans.groupby(["pos", "item_id", "__k"], sort=True):
-            lows = tuple(group["__low"])
-            if len(set(lows)) < len(lows):
-                raise ValueError(f"one slot group plans a name twice: {lows}")
-            # names are only ever added, so what was taken for these names stays taken
-            n = next_free.get(lows, 0)
-            while not used.isdisjoint(_suffixed(x, n) for x in lows):
-                n += 1
-                if skip:
-                    break
-            next_free[lows] = n
-            if skip and n:
-                out.update(dict.fromkeys(group.index))
-                continue
-            used.update(_suffixed(x, n) for x in lows)
-            out.update(zip(group.index, (_suffixed(x, n) for x in group["name"]), strict=True))
-        return plans.assign(final_name=pd.Series(out, dtype=object).reindex(plans.index))
-
-    solved = hard.groupBy("__tied").cogroup(taken.groupBy("__tied")).applyInPandas(resolve, schema)
+    solved = _in_turn(hard, taken, skip)
     return free.unionByName(counted).unionByName(solved).drop("__k", "__low", "__family", "__tied")
 
 

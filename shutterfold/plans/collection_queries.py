@@ -180,6 +180,26 @@ i AS (SELECT *, CASE WHEN e0 AND e1 THEN n + 1 WHEN e0 OR (e1 AND n > 1) THEN n
 SELECT p_brand AS folder, p_partkey AS item_id, p_name || ext AS name, p_name || CASE WHEN i = 0 THEN '' ELSE '_' || lpad(CAST(i AS VARCHAR), 3, '0') END || ext AS final_name FROM i, (VALUES ('.nef'), ('.jpg')) AS kinds(ext)"""
 
 
+def collision_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as single images, single RAW files and pairs that one template gives the same name in the folder of their type; pairs keep one number."""
+    p, rest = _t(spark, sf_dir, "part"), F.col("p_size") % 3
+    kinds = F.when(rest == 0, F.array(F.lit("shot.jpg"), F.lit("shot.nef"))).when(rest == 1, F.array(F.lit("shot.jpg"))).when(rest == 2, F.array(F.lit("shot.nef")))
+    planned = p.select(F.col("p_type").alias("folder"), F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("item_id"), F.explode(kinds).alias("name"))
+    existing = planned.select("folder", F.lit("shot_0001.jpg").alias("name"))  # no number that a name can get
+    return transfer.resolve_collisions(planned, existing).select("folder", "item_id", "name", "final_name")
+
+
+# A pair comes after all earlier pairs and the longer row of earlier single files; a single file fills the first place that no pair has.
+COLLISION_MIXED = """WITH p AS (SELECT p_type AS folder, p_partkey AS item_id, p_size % 3 AS kind FROM part),
+n AS (SELECT *, count(*) FILTER (kind = 0) OVER w AS pairs, count(*) FILTER (kind = 1) OVER w AS images, count(*) FILTER (kind = 2) OVER w AS raws FROM p
+  WINDOW w AS (PARTITION BY folder ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT folder, item_id, kind, pairs, CASE kind WHEN 0 THEN greatest(images, raws) WHEN 1 THEN images ELSE raws END AS m FROM n),
+low AS (SELECT folder, m, sum(count(*)) OVER (PARTITION BY folder ORDER BY m) AS below FROM k WHERE kind = 0 GROUP BY folder, m),
+i AS (SELECT k.folder, item_id, kind, k.m + CASE WHEN kind = 0 THEN pairs ELSE coalesce(below, 0) END AS i FROM k ASOF LEFT JOIN low ON k.folder = low.folder AND k.m >= low.m)
+SELECT folder, item_id, 'shot' || ext AS name, 'shot' || CASE WHEN i = 0 THEN '' WHEN i < 1000 THEN '_' || lpad(CAST(i AS VARCHAR), 3, '0') ELSE '_' || i END || ext AS final_name
+FROM i JOIN (VALUES (0, '.jpg'), (0, '.nef'), (1, '.jpg'), (2, '.nef')) AS kinds(kind, ext) USING (kind)"""
+
+
 def organize_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files per date folder and per focal-length folder."""
     o, p = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "part")
@@ -274,7 +294,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         filter_and, axis_counts, term_match, term_distinct, relabel_matches, natural_order, capture_order, pairing_items, session_restore, session_save, session_summary, transfer_plan,
-        rename_preview, collision_names, collision_pairs, organize_preview, cache_evict, cache_lookup, distinct_attrs, score_range, jump, mru, lane_latest, near_dup_clusters, dedup_best,
+        rename_preview, collision_names, collision_pairs, collision_mixed, organize_preview, cache_evict, cache_lookup, distinct_attrs, score_range, jump, mru, lane_latest, near_dup_clusters, dedup_best,
     )
 }
 ORACLES = {
@@ -287,7 +307,7 @@ ORACLES = {
     "capture_order": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus = 'P', CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END, o_orderkey) AS place FROM orders",
     "pairing_items": PAIRING_SQL, "session_restore": SESSION_RESTORE, "session_save": SESSION_SAVE, "session_summary": SESSION_SUMMARY,
     "transfer_plan": f"WITH {TRANSFER} SELECT item_id, slot, path, label, stars, seq, grade_seq FROM sent JOIN numbered USING (item_id)",
-    "rename_preview": RENAME_PREVIEW, "collision_names": COLLISION_NAMES, "collision_pairs": COLLISION_PAIRS, "organize_preview": ORGANIZE_PREVIEW, "cache_evict": CACHE_EVICT, "cache_lookup": CACHE_LOOKUP,
+    "rename_preview": RENAME_PREVIEW, "collision_names": COLLISION_NAMES, "collision_pairs": COLLISION_PAIRS, "collision_mixed": COLLISION_MIXED, "organize_preview": ORGANIZE_PREVIEW, "cache_evict": CACHE_EVICT, "cache_lookup": CACHE_LOOKUP,
     "distinct_attrs": "SELECT DISTINCT trim(event_type) AS event_type FROM events WHERE trim(event_type) <> ''",
     "score_range": "SELECT min(value) AS low, max(value) AS high, count(*) FILTER (value >= 50) AS good, count(*) FILTER (value < 50) AS bad FROM events",
     "jump": JUMP,

@@ -125,8 +125,9 @@ def _greedy(planned, there, skip):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_pairs_keep_one_number(spark, seed):
+@pytest.mark.parametrize("seed, turn_rows", [(0, 500_000), (1, 500_000), (2, 7), (3, 20)])
+def test_pairs_keep_one_number(spark, monkeypatch, seed, turn_rows):
+    monkeypatch.setattr(transfer, "TURN_ROWS", turn_rows)
     r = random.Random(seed)
     planned, there = [], []
     for item in range(60):
@@ -134,7 +135,7 @@ def test_pairs_keep_one_number(spark, seed):
         kinds = ["jpg", "nef"] if stem in "aB" or r.random() < 0.5 else [r.choice(["jpg", "nef"])]
         planned += [(r.choice("xy") if stem == "d" else "x", item, item, f"{stem}.{kind}") for kind in kinds]
     for stem in ("a", "b", "c", "d"):
-        there += [("x", f"{stem}{s}.{kind}") for s in ("", "_001", "_002", "_0003", "_007") for kind in ("JPG", "nef", "png") if r.random() < 0.4]
+        there += [("x", f"{stem}{s}.{kind}") for s in ("", "_001", "_002", "_0003", "_007", "_000", "_001_002", "_1234567890123456789012") for kind in ("JPG", "nef", "png") if r.random() < 0.4]
     df = spark.createDataFrame(planned, "folder string, pos int, item_id int, name string")
     existing = spark.createDataFrame(there, "folder string, name string")
     for skip in (False, True):
