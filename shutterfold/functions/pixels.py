@@ -221,4 +221,5 @@ def score_images(images: DataFrame, image: str = "image", out: str = "report", s
         names = [f.split(":")[0] for f in REPORT[7:-1].split(",")]
         return pd.DataFrame([[r.get(n) for n in names] for r in found], columns=names, dtype=object)
 
+    scored = scored.asNondeterministic()  # a filter on the report would measure each image twice otherwise
     return images.withColumn(out, scored(F.struct(*parts, boxes.alias("boxes")))).withColumn(out, F.when(F.col(f"{out}.sharpness").isNotNull(), F.col(out)))

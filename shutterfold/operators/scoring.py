@@ -139,7 +139,7 @@ def score(images: DataFrame, load: Callable[[], Model], prepare: Callable[[np.nd
             _fill(found, ready, model, read, alone)
             yield pd.Series(found, dtype=object)
 
-    return images.withColumn(out, scored(column))
+    return images.withColumn(out, scored.asNondeterministic()(column))  # run once, whatever filters follow
 
 
 def _fill(found: list, ready: list, model: Model, read: Callable, alone: Callable) -> None:

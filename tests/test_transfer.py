@@ -125,7 +125,7 @@ def _greedy(planned, there, skip):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed, turn_rows", [(0, 500_000), (1, 500_000), (2, 7), (3, 20)])
+@pytest.mark.parametrize("seed, turn_rows", [(0, 500_000), (1, 500_000), (2, 25), (3, 40)])
 def test_pairs_keep_one_number(spark, monkeypatch, seed, turn_rows):
     monkeypatch.setattr(transfer, "TURN_ROWS", turn_rows)
     r = random.Random(seed)
