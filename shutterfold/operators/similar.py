@@ -53,7 +53,8 @@ def near_pairs(hashes: DataFrame, k: int, hash_column: str = "h") -> DataFrame:
     signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in masks(k)))
     rows = distinct.select(F.col(hash_column).alias("h"), F.posexplode(signed).alias("mask", "bits")).select("h", "mask", F.col("h").bitwiseAND(F.col("bits")).alias("value"))
     left, right = rows.withColumnRenamed("h", "a"), rows.withColumnRenamed("h", "b")
-    near = left.join(right, ["mask", "value"]).where((F.col("a") < F.col("b")) & (distance(F.col("a"), F.col("b")) <= k))
+    # Spark takes the size of the exploded rows for that of the hashes, and would send all of them through the driver as a broadcast
+    near = left.join(right.hint("merge"), ["mask", "value"]).where((F.col("a") < F.col("b")) & (distance(F.col("a"), F.col("b")) <= k))
     return near.select("a", "b").distinct()
 
 

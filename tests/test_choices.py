@@ -239,6 +239,15 @@ def test_near_pairs_find_all(spark):
     assert {(r.a, r.b) for r in got.collect()} == near and len(near) >= 8
 
 
+def test_near_pairs_do_not_pass_the_driver(spark):
+    rng = np.random.default_rng(3)
+    hashes = spark.createDataFrame([(int(x),) for x in rng.integers(-(1 << 63), 1 << 63, 500)], "h long")
+    pairs = similar.near_pairs(hashes, 6)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()  # the rows that a self-join under every mask would broadcast are 84 times the hashes
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_organised_files_resolve_and_move(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = []
