@@ -248,6 +248,19 @@ def test_near_pairs_do_not_pass_the_driver(spark):
     assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_cluster_queries_do_not_pass_the_driver(spark, monkeypatch):
+    from shutterfold.plans.registry import QUERIES
+
+    asked = []
+    monkeypatch.setattr(similar, "connected_components", lambda edges, *ends: asked.append(edges) or edges.selectExpr("a AS node", "a AS component"))
+    for name in ("dedup_best", "near_dup_clusters"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    for edges in asked:
+        edges.collect()
+        assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert len(asked) == 2
+
+
 def test_organised_files_resolve_and_move(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = []
