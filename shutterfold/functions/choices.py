@@ -109,8 +109,8 @@ def plain_folder(path: Column, fold_case: bool = False) -> Column:
         lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
     )
     out = F.concat(F.when(p.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
-    out = F.lower(out) if fold_case else out
-    return F.when(out != "", out)
+    out = F.when(p.rlike(r"/\.{0,2}(/|$)|^\.{0,2}$|^\.{1,2}/"), F.get(F.filter(F.array(out), lambda x: x != ""), F.lit(0))).otherwise(p)  # each built once; most paths are plain
+    return F.lower(out) if fold_case else out
 
 
 def same_folder(a: Column, b: Column, fold_case: bool = False) -> Column:

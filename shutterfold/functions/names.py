@@ -28,11 +28,12 @@ def ascii_lower(s: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.regexp_extract(F.translate(path, "\\", "/"), r"[^/]*$", 0)
+    return F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
 
 
 def parent(path: Column) -> Column:
-    return F.regexp_replace(F.translate(path, "\\", "/"), r"/?[^/]*$", "")
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.substring(p, F.lit(1), F.length(p) - F.length(F.substring_index(p, "/", -1)) - 1)
 
 
 def extension(path: Column) -> Column:

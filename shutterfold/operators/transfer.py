@@ -54,6 +54,7 @@ def plan(items: DataFrame, chosen: Column, which: str = "both", order: str = "po
     first = N.stem(F.col("members").getItem(0))
     items = items.where(chosen).withColumn("stem", F.coalesce(F.col("stem"), first) if "stem" in items.columns else first)
     items = items.withColumn("members", companions(F.col("members"), which)).where(F.size("members") > 0)
+    items = stored(items.select("item_id", order, "members", "stem", "label", "stars", F.col("tag").cast("string").alias("tag")))  # ranking reads them several times
     places = numbered(items.select("item_id", F.least("stars", F.lit(5)).alias("grade"), F.col(order).alias("__at")), [F.col("__at"), F.col("item_id")], "seq")  # keys only are ranked
     places = numbered_within(places, ["grade"], [F.col("__at"), F.col("item_id")], "grade_seq")
     graded = items.join(places.select("item_id", "seq", "grade_seq"), "item_id")
@@ -76,7 +77,8 @@ def renamed(planned: DataFrame, template: str | None, by_grade: bool = False) ->
     }
     suffix = F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
     made = F.concat(N.templated(template, values, F.col("stem"), {"gradeseq": grade}), suffix)
-    return planned.withColumn("new_name", F.when(F.col("stars") == 0, name).otherwise(made) if by_grade else made)
+    # a choice by place, not by case: Spark shares what repeats inside a name only where it is always computed
+    return planned.withColumn("new_name", F.get(F.array(made, name), F.when(F.col("stars") == 0, 1).otherwise(0)) if by_grade else made)
 
 
 def in_place(by_folder: bool = False) -> Column:

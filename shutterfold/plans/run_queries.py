@@ -94,8 +94,9 @@ def transfer_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every order's files go when grades name them and stars split them, and which are there already."""
     items = _transfer_items(spark, sf_dir).withColumnRenamed("item_id", "item")
     rows = collection.planned(items, collection.Transfer("/shots", split="stars", template="{grade}{seq:04}-{order}-{tag}", by_grade=True))
-    back = rows.withColumns({"folder": F.lit("/shots/./"), "name": N.file_name(F.col("path"))}).select("path", transfer.in_place().alias("back"), transfer.in_place(by_folder=True).alias("same_folder"))
-    return rows.select("path", "folder", "name", transfer.in_place().alias("there")).join(back, "path")
+    rows = rows.select("path", F.struct("folder", "name").alias("to"), transfer.in_place().alias("there"))
+    back = rows.withColumns({"folder": F.lit("/shots/./"), "name": N.file_name(F.col("path"))})
+    return back.select("path", "to.folder", "to.name", "there", transfer.in_place().alias("back"), transfer.in_place(by_folder=True).alias("same_folder"))
 
 
 TRANSFER_TARGETS = f"""WITH {ITEMS}, files AS (SELECT DISTINCT l_orderkey, l_linenumber % 2 = 0 AS raw, '/shots/o' || l_orderkey || '_' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN '.NEF' ELSE '.jpg' END AS path FROM lineitem

@@ -261,6 +261,29 @@ def test_cluster_queries_do_not_pass_the_driver(spark, monkeypatch):
     assert len(asked) == 2
 
 
+def test_transfer_targets_read_their_items_once(spark):
+    from shutterfold.plans.registry import QUERIES
+
+    found = QUERIES["transfer_targets"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() > 0 and "l_linenumber" not in plan and plan.count("Generate explode") + plan.count("Generate posexplode") == 1
+
+
+def test_parts_of_odd_paths(spark):
+    paths = ["", "a", "/", "/a", "a/", "//", "a//b", "/a/./b", "a/..", "/../a", ".", "..", "...", "/.a/b..", "x\\y/z", "a/b\n", "a/\n", "\u00e9/\u00fc\u00df/n", None]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    for r in df.select("p", names.file_name(F.col("p")).alias("name"), names.parent(F.col("p")).alias("parent"), choices.plain_folder(F.col("p")).alias("plain")).collect():
+        if r.p is None:
+            assert (r.name, r.parent, r.plain) == (None, None, None)
+            continue
+        parent, _, name = r.p.replace("\\", "/").rpartition("/")
+        kept: list[str] = []
+        for x in r.p.replace("\\", "/").split("/"):
+            kept = kept[:-1] if x == ".." else kept + [x] * (x not in ("", "."))
+        plain = "/" * r.p.startswith(("/", "\\")) + "/".join(kept)
+        assert (r.name, r.parent, r.plain) == (name, parent, plain or None), r.p
+
+
 def test_organised_files_resolve_and_move(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = []
