@@ -29,7 +29,7 @@ def focal(text: Column) -> Column:
 def shutter(text: Column) -> Column:
     """Seconds from ``1/250``, ``1/250 s`` or ``0.5``; a zero denominator is null."""
     bare = F.trim(F.regexp_replace(F.trim(text), r"[s\s]+$", ""))
-    top, bottom = F.split(bare, "/").getItem(0), F.get(F.split(bare, "/"), F.lit(1))
+    top, bottom = F.substring_index(bare, "/", 1), F.substring_index(F.substring_index(bare, "/", 2), "/", -1)
     ratio = F.trim(top).try_cast("float") / F.when(F.trim(bottom).try_cast("float") != 0, F.trim(bottom).try_cast("float"))
     return F.when(F.contains(bare, F.lit("/")), ratio.cast("float")).otherwise(bare.try_cast("float"))
 
@@ -46,9 +46,15 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
 def epoch_seconds(text: Column) -> Column:
     """``YYYY:MM:DD HH:MM[:SS]`` (dashes work too) to seconds, without a zone; whole numbers, one blank, nothing behind but further parts."""
     pattern = r"^\s*([+]?[0-9]+)[:-]([+]?[0-9]+)[:-]([+]?[0-9]+)(?:[:-][^ ]*)? ([+-]?[0-9]+):([+-]?[0-9]+)(?::([+-]?[0-9]+)(?::.*)?)?\s*$"
-    y, mo, d, h, mi, s = (F.regexp_extract(text, pattern, i).try_cast("long") for i in range(1, 7))
-    whole = text.rlike(pattern) & mo.between(1, 12) & d.between(1, 31)
-    return F.when(whole, days_from_civil(y, mo, d) * 86400 + h * 3600 + mi * 60 + F.coalesce(s, F.lit(0)))
+    parts = F.when(text.rlike(pattern), F.split(F.regexp_replace(text, pattern, "$1 $2 $3 $4 $5 $6 "), " "))
+
+    def seconds(n: Column) -> Column:
+        y, mo, d, h, mi, s = (F.get(n, F.lit(i)) for i in range(6))
+        return F.when(mo.between(1, 12) & d.between(1, 31), days_from_civil(y, mo, d) * 86400 + h * 3600 + mi * 60 + F.coalesce(s, F.lit(0)))
+
+    # An empty part is no number without asking try_cast, which raises and catches an error for it.  In a lambda the text is matched once, not for each of the numbers' many uses; nor does the sum then swell the stage's
+    # one generated method beyond what the JVM compiles (8,000 bytes), which slowed every other column of the row.
+    return F.get(F.transform(F.array(F.transform(parts, lambda x: F.when(x != "", x.try_cast("long")))), seconds), F.lit(0))
 
 
 def photo_meta(exif: dict[str, Column]) -> Column:

@@ -284,6 +284,14 @@ def test_parts_of_odd_paths(spark):
         assert (r.name, r.parent, r.plain) == (name, parent, plain or None), r.p
 
 
+def test_dates_match_once(spark):
+    df = spark.createDataFrame([("2024:01:02 03:04:05",), ("2024-02-31 1:2",), ("2024:13:01 00:00:00",), ("99999999999999999999:1:1 0:0",), ("2024:1:1 0:0:-7:x",), ("x",), (None,)], "t string")
+    found = df.select(exif.epoch_seconds(F.concat("t", F.lit(""))).alias("s"))
+    assert [r.s for r in found.collect()] == [1704164645, 1709341320, None, None, 1704067193, None, None]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") + plan.count("RLIKE") <= 3  # the numbers of a date have 30 uses, each of which searched the text again
+
+
 def test_organised_files_resolve_and_move(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = []
