@@ -61,7 +61,7 @@ def near_pairs(hashes: DataFrame, k: int, hash_column: str = "h") -> DataFrame:
 def clusters(df: DataFrame, k: int, hash_column: str, key: str, out: str = "cluster") -> DataFrame:
     """Adds ``out``: the smallest key of the row's cluster; null where the hash is."""
     groups = connected_components(near_pairs(df, k, hash_column), "a", "b")
-    labelled = df.join(groups.select(F.col("node").alias(hash_column), F.col("component").alias("__root")), hash_column, "left")
+    labelled = df.join(groups.select(F.col("node").alias(hash_column), F.col("component").alias("__root")).hint("merge"), hash_column, "left")
     rooted = labelled.withColumn("__root", F.when(F.col(hash_column).isNotNull(), F.coalesce("__root", hash_column)))
     least = rooted.where("__root is not null").groupBy("__root").agg(F.min(key).alias(out))
-    return rooted.join(least, "__root", "left").drop("__root")
+    return rooted.join(least.hint("merge"), "__root", "left").drop("__root")

@@ -41,3 +41,12 @@ def test_chain_hub_and_empty(spark):
 def test_text_nodes(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame([("b", "c"), ("c", "a"), ("x", "x")], "src string, dst string")).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "x": "x"}
+
+
+def test_rounds_leave_the_planner_small_numbers(spark):
+    order = list(range(3000))
+    random.Random(5).shuffle(order)
+    found = connected_components(spark.createDataFrame(list(zip(order, order[1:])), "src long, dst long"))
+    assert {r.component for r in found.collect()} == {0}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 2000  # five times as many bits a round before
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
